@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import ranking, topn
+from graphweft.llm import leaks, ranking, reading, tokens, topn, vectors
 
 _LATEST = """
 WITH p AS (SELECT source_id, algorithm, target_id, arg_max(score, (predicted_at, score)) AS score FROM predictions
@@ -33,7 +33,19 @@ SELECT tbl, group_key, item_id FROM r WHERE r <= 5
 
 
 def queries() -> dict:
-    return {"p1_found": ranking.p1_found, "p1_leximin": ranking.p1_leximin, "p3_found": topn.p3_found}
+    return {
+        "p1_found": ranking.p1_found,
+        "p1_leximin": ranking.p1_leximin,
+        "p3_found": topn.p3_found,
+        "p5_found": vectors.p5_found,
+        "p5_nearest": vectors.p5_nearest,
+        "p6_ids": tokens.p6_ids,
+        "p6_sources": tokens.p6_sources,
+        "p7_found": leaks.p7_found,
+        "p7_items": leaks.p7_items,
+        "p8_found": reading.p8_found,
+        "p8_profile": reading.p8_profile,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
