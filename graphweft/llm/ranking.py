@@ -65,7 +65,7 @@ def fuse(scores: DataFrame, n_scores: int, n: int, vectors: str = "leave_one_out
     Columns ``source_id, target_id, vector, rank``; equal vectors go in ascending order of ``target_id``. ``n_scores`` is the number of
     scores an item can have; those it lacks count as percentile 1/2. Null sources, targets and algorithms are left out.
     """
-    scores = scores.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("algorithm").isNotNull())
+    scores = scores.select("source_id", "algorithm", "target_id", "score").filter(F.col("score").isNotNull() & F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("algorithm").isNotNull())
     p = percentiles(scores, ["source_id", "algorithm"], "score")
     each = scores.join(p, ["source_id", "algorithm", "score"])
     items = each.groupBy("source_id", "target_id").agg(F.collect_list("pct").alias("_p"))

@@ -17,7 +17,7 @@ HOT_ROWS, RANGES, SALTS = 200_000, 64, 8
 
 def _best(df: DataFrame, keys: list[str], score: str, tie: str, n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(tie).asc())
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
+    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n)
 
 
 def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, hot_rows: int = HOT_ROWS, ranges: int = RANGES, salts: int = SALTS) -> DataFrame:
@@ -25,24 +25,25 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, hot_rows
 
     ``score`` must not be null, ``(keys, tie)`` should be unique (for repeats any of the equal rows). A null key is a group of its own.
     ``score`` may be any ordered type; ranges are cut by number only, so heavy groups with another type are cut by hash alone.
-    Groups with fewer rows keep all of them.
+    Groups with fewer rows keep all of them, empty input gives no rows. A column ``rank`` of the input is replaced.
     """
+    df = df.drop("rank")
     out = [*df.columns, "rank"]
     number = dict(df.dtypes)[score] in ("double", "float", "int", "bigint", "smallint", "tinyint")
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
     same = [df[k].eqNullSafe(heavy[k]) for k in keys]
     cold = _best(df.join(heavy, same, "left_anti"), keys, score, tie, n)
     hot = df.join(heavy, same, "left_semi")
     if number:
         at = [i / ranges for i in range(1, ranges)]
-        bounds = hot.groupBy(*keys).agg(F.percentile_approx(score, F.array(*map(F.lit, at)), F.lit(1000)).alias("_bounds"))
-        hot = hot.alias("h").join(bounds.alias("b"), [F.col(f"h.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("h.*", "b._bounds")
-        hot = hot.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(score)))).drop("_bounds")
+        bounds = hot.groupBy(*keys).agg(F.percentile_approx(score, F.array(*map(F.lit, at)), F.lit(1000)).alias("__bounds"))
+        hot = hot.alias("h").join(bounds.alias("b"), [F.col(f"h.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("h.*", "b.__bounds")
+        hot = hot.withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(score)))).drop("__bounds")
     else:
-        hot = hot.withColumn("_range", F.lit(0))
-    hot = hot.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
-    hot = _best(_best(hot, [*keys, "_range", "_salt"], score, tie, n).drop("_rank"), keys, score, tie, n)
-    ranked = [d.withColumn("rank", F.col("_rank").cast("int")).select(out) for d in (cold, hot)]
+        hot = hot.withColumn("__range", F.lit(0))
+    hot = hot.withColumn("__salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
+    hot = _best(_best(hot, [*keys, "__range", "__salt"], score, tie, n).drop("__rank"), keys, score, tie, n)
+    ranked = [d.withColumn("rank", F.col("__rank").cast("int")).select(out) for d in (cold, hot)]
     return ranked[0].unionByName(ranked[1])
 
 
