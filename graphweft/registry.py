@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graphweft.queries.general",)
+MODULES = ("graphweft.queries.general", "graphweft.queries.language", "graphweft.queries.engine")
 
 
 def queries() -> dict:

@@ -118,21 +118,25 @@ def _plain(text: str) -> list[str]:
 
 
 def _slop(words: Column, terms: list[str], slop: int) -> Column:
-    """Whether the terms follow each other with at most ``slop`` other words between: a window search on the token array."""
-    n = F.size(words)
-
-    def starts_at(i: Column) -> Column:
-        # Position of each term after the one before it, as early as possible; -1 once one is missing.
-        at = i
-        ok = F.get(words, i) == terms[0]
-        for t in terms[1:]:
-            rest = F.slice(words, at + 2, slop + 1)
-            step = F.array_position(rest, t).cast("int")
-            ok = ok & (step > 0)
-            at = at + step
-        return F.coalesce(ok & (at - i <= len(terms) - 1 + slop), F.lit(False))
-
-    return F.exists(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), starts_at)
+    """Whether the terms follow each other with at most ``slop`` other words between, each as early as possible after the one before.
+
+    The words are bound to a lambda variable first, so that they are split once and not for every start.
+    """
+    if slop == 0:
+        return F.contains(F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" ")), F.lit(f" {' '.join(terms)} "))
+
+    def found(w: Column) -> Column:
+        def starts_at(i: Column) -> Column:
+            at, ok = i, F.get(w, i) == terms[0]
+            for t in terms[1:]:
+                step = F.array_position(F.slice(w, at + 2, slop + 1), t).cast("int")
+                ok = ok & (step > 0)
+                at = at + step
+            return F.coalesce(ok & (at - i <= len(terms) - 1 + slop), F.lit(False))
+
+        return F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), starts_at)
+
+    return F.exists(F.array(words), found)
 
 
 def condition(node: Node, fields: dict[str, Column]) -> Column:
