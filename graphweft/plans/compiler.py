@@ -408,6 +408,11 @@ class Compiler:
                 if (a is None or a in ll) and (b is None or b in rl):
                     yield t, a, b, back
 
+    def implied(self, r: s.RelP, left: list[NodeTable], right: list[NodeTable], end: bool) -> bool:
+        """Whether the hop's tables alone say that its end (or start) has the labels asked for."""
+        tables = right if end else left
+        return len(tables) == len(self.catalog.nodes) or all(x[2 if end else 1] is not None for x in self.steps(r, left, right))
+
     def key(self, col: Column, labels: tuple | None, native: bool) -> Column:
         if native or self.catalog.unique_ids:
             return col
@@ -548,7 +553,7 @@ class Compiler:
         a, b = p.nodes[k], p.nodes[i + 1 if k == i else i]
         natives = [self.native(x.var, cand[x.var]) for x in (a, b)]
         _, _, trusted = self.rel_frame(r, a.var, b.var, cand[a.var], cand[b.var], tuple(natives))
-        if not trusted or self.visible is not None:
+        if not trusted or self.visible is not None or not self.implied(r, cand[a.var], cand[b.var], False):
             self.scan(a, cand[a.var])
             return
         self.bind_node(a, cand[a.var], False)
@@ -619,7 +624,7 @@ class Compiler:
                 self.df = self.df.filter(self.has_labels(b.var, b.labels))
             self.df = self.df.drop(start, end)
             return wheres
-        if trusted and self.anonymous(b) and self.visible is None:
+        if trusted and self.anonymous(b) and self.visible is None and self.implied(r, cand[a.var], cand[b.var], True):
             labels = F.array(*map(F.lit, cand[b.var][0].labels)) if len(cand[b.var]) == 1 else F.array()
             self.df = self.df.withColumn(f"{b.var}{SEP}_id", F.col(f"`{end}`")).withColumn(f"{b.var}{SEP}_labels", labels.cast("array<string>"))
             self.bind_node(b, cand[b.var], False)

@@ -238,7 +238,11 @@ def _set(comp, items: list[s.SetItem], when: Column) -> None:
                 raise WriteError(f"property {name} is reserved")
             t = comp.type_of(expr, {})
             x = comp.col(expr)
-            x = x.cast("string") if isinstance(t, T.NullType) else x
+            if isinstance(t, T.NullType):
+                column = f"{i.var}{SEP}{name}"
+                if skip_null or column not in comp.df.columns:
+                    continue
+                x = x.cast(comp.df.schema[column].dataType)
             cond = when & x.isNotNull() if skip_null else when
             _write_property(comp, i.var, name, x, cond)
 

@@ -33,7 +33,7 @@ def two_hop_count(comp, clauses: list) -> DataFrame | None:
     for k, r in enumerate(path.rels):
         a, b = path.nodes[k], path.nodes[k + 1]
         f, _, trusted = comp.rel_frame(replace(r), a.var, b.var, cand[a.var], cand[b.var], (natives[k], natives[k + 1]))
-        if not trusted:
+        if not trusted or not all(comp.implied(r, cand[a.var], cand[b.var], end) for end in (False, True)):
             return None
         sides.append(f.groupBy(F.col(f"`{r.var}{SEP}{'~to' if k == 0 else '~from'}`").alias("b")).agg(F.count(F.lit(1)).alias(f"n{k}")))
     total = sides[0].join(sides[1], "b").agg(F.coalesce(F.sum(F.col("n0") * F.col("n1")), F.lit(0)).cast("long").alias(p.items[0].alias or p.items[0].text))
