@@ -1,6 +1,6 @@
 """Writes: every clause makes a new version of the tables it touches.
 
-New and changed rows are checkpointed, because ids are drawn at random and later clauses read them. Writes need a catalog with unique
+New and changed rows are written to the shared folder, because ids are drawn at random and later clauses read them. Writes need a catalog with unique
 string ids (:meth:`GraphCatalog.empty`).
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from graphweft.plans import constraints
 from graphweft.plans import syntax as s
 from graphweft.plans.catalog import SEP, NodeTable, RelTable
-from graphweft.session import cut
+from graphweft.session import settle
 
 
 class WriteError(ValueError):
@@ -89,7 +89,7 @@ def create(comp, clause: s.Create) -> None:
             for k, x in _valued(comp, r.props):
                 comp.df = comp.df.withColumn(f"{r.var}{SEP}{k}", x)
             comp.df = comp.df.withColumn(f"{r.var}{SEP}_id", F.uuid())
-        comp.df = cut(comp.df)
+        comp.df = settle(comp.df)
         for n in fresh:
             names = [k for k, _ in n.props.items] if n.props is not None else []
             insert_nodes(comp, n.labels, comp.df.select(c(n.var, "_id").alias("_id"), *[c(n.var, k).alias(k) for k in names]))
@@ -134,7 +134,7 @@ def _merge_node(comp, n: s.NodeP, clause: s.Merge) -> None:
         name = comp.temp()
         comp.df = comp.df.withColumn(name, x)
         keys.append((k, name))
-    comp.df = cut(comp.df)
+    comp.df = settle(comp.df)
     tables = comp.catalog.with_labels(n.labels)
     wanted = comp.df.select(*[F.col(f"`{x}`") for _, x in keys]).distinct() if keys else comp.df.limit(1).select(F.lit(1).alias("·one"))
     if tables:
@@ -145,7 +145,7 @@ def _merge_node(comp, n: s.NodeP, clause: s.Merge) -> None:
         missing = wanted.join(nodes, on, "left_anti")
     else:
         missing = wanted
-    new = cut(missing.select(F.uuid().alias("_id"), *[F.col(f"`{x}`").alias(k) for k, x in keys]))
+    new = settle(missing.select(F.uuid().alias("_id"), *[F.col(f"`{x}`").alias(k) for k, x in keys]))
     if not new.isEmpty() or not tables:
         insert_nodes(comp, n.labels, new)
     _bind_existing(comp, n.var, comp.catalog.with_labels(n.labels), keys)
@@ -163,7 +163,7 @@ def _merge_rel(comp, a: s.NodeP, r: s.RelP, b: s.NodeP, clause: s.Merge) -> None
         name = comp.temp()
         comp.df = comp.df.withColumn(name, x)
         keys.append((k, name))
-    comp.df = cut(comp.df)
+    comp.df = settle(comp.df)
     wanted = comp.df.select(c(a.var, "_id").alias("_src"), c(b.var, "_id").alias("_dst"), *[F.col(f"`{x}`").alias(k) for k, x in keys]).distinct()
 
     def frame():
@@ -181,7 +181,7 @@ def _merge_rel(comp, a: s.NodeP, r: s.RelP, b: s.NodeP, clause: s.Merge) -> None
         missing = w.join(e, ends, "left_anti")
     else:
         missing = wanted
-    new = cut(missing.withColumn("_rid", F.uuid()))
+    new = settle(missing.withColumn("_rid", F.uuid()))
     insert_rels(comp, r.types[0], new)
     rels = frame()
     props = tuple(x for x in rels.columns if not x.startswith("_"))
@@ -205,7 +205,7 @@ def _on(comp, var: str, created: DataFrame, clause: s.Merge) -> None:
     if not clause.on_create and not clause.on_match:
         return
     marked = comp.df.join(created.select(F.col("_id").alias("·new")), c(var, "_id") == F.col("`·new`"), "left").withColumn("·new", F.col("`·new`").isNotNull())
-    comp.df = cut(marked)
+    comp.df = settle(marked)
     for items, fresh in ((clause.on_create, True), (clause.on_match, False)):
         if items:
             _set(comp, items, F.col("`·new`") == fresh)
@@ -252,7 +252,7 @@ def _write_property(comp, var: str, name: str, value: Column, when: Column) -> N
     b = comp.scope[var]
     column = f"{var}{SEP}{name}"
     new = comp.df.filter(when & c(var, "_id").isNotNull()).groupBy(c(var, "_id").alias("·id")).agg(F.max(F.struct(value.alias("v"))).alias("·v"))
-    new = cut(new)
+    new = settle(new)
     kind = new.schema["·v"].dataType["v"].dataType
     tables = comp.catalog.nodes if b.kind == "node" else comp.catalog.rels
     for k, t in enumerate(tables):
@@ -267,11 +267,11 @@ def _write_property(comp, var: str, name: str, value: Column, when: Column) -> N
         to = old.schema[name].dataType
         joined = old.join(new, F.col(f"`{key}`") == F.col("`·id`"), "left")
         out = joined.withColumn(name, F.when(F.col("`·id`").isNotNull(), F.col("`·v`.v").cast(to)).otherwise(F.col(f"`{name}`"))).drop("·id", "·v")
-        tables[k] = replace(t, df=cut(out))
+        tables[k] = replace(t, df=settle(out))
     rows = comp.df.join(new, c(var, "_id") == F.col("`·id`"), "left")
     had = F.col(f"`{column}`") if column in comp.df.columns else F.lit(None)
     to = kind if column not in comp.df.columns else _wider(comp.df.schema[column].dataType, kind)
-    comp.df = cut(rows.withColumn(column, F.when(F.col("`·id`").isNotNull(), F.col("`·v`.v").cast(to)).otherwise(had.cast(to))).drop("·id", "·v"))
+    comp.df = settle(rows.withColumn(column, F.when(F.col("`·id`").isNotNull(), F.col("`·v`.v").cast(to)).otherwise(had.cast(to))).drop("·id", "·v"))
     props = b.props if name in b.props else (*b.props, name)
     refreshed = tuple(t for t in comp.catalog.nodes if t.labels in {x.labels for x in b.tables}) if b.kind == "node" else b.tables
     comp.scope[var] = replace(b, props=props, tables=refreshed)
@@ -290,15 +290,15 @@ def _relabel(comp, var: str, labels: tuple, when: Column, add: bool) -> None:
     b = comp.scope[var]
     if b.kind != "node":
         raise WriteError("labels belong to nodes")
-    ids = cut(comp.df.filter(when & c(var, "_id").isNotNull()).select(c(var, "_id").alias("_id")).distinct())
+    ids = settle(comp.df.filter(when & c(var, "_id").isNotNull()).select(c(var, "_id").alias("_id")).distinct())
     moved = []
     for t in list(b.tables):
         k = _node_table(comp, t.labels)
         target = tuple(sorted(set(t.labels) | set(labels) if add else set(t.labels) - set(labels)))
         if target == t.labels:
             continue
-        go = cut(comp.catalog.nodes[k].df.join(ids, "_id", "left_semi"))
-        comp.catalog.nodes[k] = replace(comp.catalog.nodes[k], df=cut(comp.catalog.nodes[k].df.join(ids, "_id", "left_anti")))
+        go = settle(comp.catalog.nodes[k].df.join(ids, "_id", "left_semi"))
+        comp.catalog.nodes[k] = replace(comp.catalog.nodes[k], df=settle(comp.catalog.nodes[k].df.join(ids, "_id", "left_anti")))
         insert_nodes(comp, target, go)
         moved.append(target)
     new = F.array_sort(F.array_union(c(var, "_labels"), F.array(*map(F.lit, labels)))) if add else F.array_except(c(var, "_labels"), F.array(*map(F.lit, labels)))
@@ -325,10 +325,10 @@ def delete(comp, clause: s.Delete) -> None:
     names = sorted(clause.names, key=lambda n: comp.scope[n].kind == "node")
     for var in names:
         b = comp.scope[var]
-        ids = cut(comp.df.select(c(var, "_id").alias("·d")).filter(F.col("`·d`").isNotNull()).distinct())
+        ids = settle(comp.df.select(c(var, "_id").alias("·d")).filter(F.col("`·d`").isNotNull()).distinct())
         if b.kind == "rel":
             for k, t in enumerate(cat.rels):
-                cat.rels[k] = replace(t, df=cut(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
+                cat.rels[k] = replace(t, df=settle(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
             continue
         if b.kind != "node":
             raise WriteError("DELETE takes nodes and relationships")
@@ -336,11 +336,11 @@ def delete(comp, clause: s.Delete) -> None:
             touch = (F.col(t.src) == F.col("`·d`")) | (F.col(t.dst) == F.col("`·d`"))
             if clause.detach:
                 rest = t.df.join(ids, F.col(t.src) == F.col("`·d`"), "left_anti").join(ids, F.col(t.dst) == F.col("`·d`"), "left_anti")
-                cat.rels[k] = replace(t, df=cut(rest))
+                cat.rels[k] = replace(t, df=settle(rest))
             elif not t.df.join(ids, touch, "left_semi").isEmpty():
                 raise WriteError("a node still has relationships; use DETACH DELETE")
         for k, t in enumerate(cat.nodes):
-            cat.nodes[k] = replace(t, df=cut(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
+            cat.nodes[k] = replace(t, df=settle(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
 
 
 def foreach(comp, clause: s.Foreach) -> None:

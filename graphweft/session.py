@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read again: drawn ids stay as they are, and plans over it start afresh."""
+    if not df.columns:
+        return cut(df)
+    plain = df.select(*[F.col(f"`{n}`").cast("string").alias(n) if t == "void" else F.col(f"`{n}`") for n, t in df.dtypes])
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/graphweft-tables/{uuid.uuid4().hex}"
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
