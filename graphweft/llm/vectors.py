@@ -155,8 +155,8 @@ def _coded(models: dict, probes: int):
     """Rows for the cells: role 0 with code and scalar in the nearest ``probes`` cells, role 1 as a query in the nearest."""
 
     def rows(batches):
+        cols = ["field", "space", "gid", "cell", "role", "code", "a", "b"]
         for b in batches:
-            parts = []
             for key, g in b.groupby(["field", "space"], sort=False):
                 turn, centres = models[key]
                 for lo in range(0, len(g), 1024):
@@ -168,10 +168,8 @@ def _coded(models: dict, probes: int):
                     p = min(probes, len(centres))
                     near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :p] if len(centres) <= 4 * p else _top(x @ centres.T, p)
                     gid = s["gid"].to_numpy()
-                    parts.append(pd.DataFrame({"gid": np.repeat(gid, p), "cell": near.ravel(), "role": 0, "code": [c for c in map(bytes, codes) for _ in range(p)], "a": np.repeat(scale, p), "b": np.float32(0)}).assign(field=key[0], space=key[1]))
-                    parts.append(pd.DataFrame({"gid": gid, "cell": near[:, 0], "role": 1, "code": [q.tobytes() for q in planes], "a": low, "b": step}).assign(field=key[0], space=key[1]))
-            if parts:
-                yield pd.concat(parts)[["field", "space", "gid", "cell", "role", "code", "a", "b"]]
+                    yield pd.DataFrame({"gid": np.repeat(gid, p), "cell": near.ravel(), "role": 0, "code": [c for c in map(bytes, codes) for _ in range(p)], "a": np.repeat(scale, p), "b": np.float32(0)}).assign(field=key[0], space=key[1])[cols]
+                    yield pd.DataFrame({"gid": gid, "cell": near[:, 0], "role": 1, "code": [q.tobytes() for q in planes], "a": low, "b": step}).assign(field=key[0], space=key[1])[cols]
 
     return rows
 
@@ -207,7 +205,7 @@ def _candidates(least: float, k: int):
                 keep = est[i, j] > -8
                 out.append(np.stack([qid[s][i[keep]], bid[j[keep]]], 1))
         m = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"field": pdf["field"].iloc[0], "space": pdf["space"].iloc[0], "x": m.min(1), "y": m.max(1)}) if len(m) else pd.DataFrame({"field": [], "space": [], "x": [], "y": []}).astype({"x": "int64", "y": "int64"})
+        return pd.DataFrame({"field": pdf["field"].iloc[0], "space": pdf["space"].iloc[0], "x": m.min(1, initial=2**63 - 1), "y": m.max(1, initial=-(2**63))})
 
     return pairs
 
