@@ -54,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small input has fewer partitions than there are; larger inputs stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as a table and read again: drawn ids stay as they are, and plans over it start afresh."""
     if not df.columns:
