@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm.words import words
-from graphweft.session import ship, table
+from graphweft.session import ship, spread, table
 
 SEED, RARE, HITS, LEAST_WORDS, LEAST_SCORE, PENALTY = 4, 5, 4, 15, 13, 2
 #: Items whose seeds are held in memory at once; more items take more passes over the corpus.
@@ -26,12 +26,17 @@ ITEMS_PER_PASS = 20_000
 STRETCH, AROUND = 40, 34
 
 
+def runs(ws: list[str], n: int = SEED):
+    """All runs of ``n`` words, in order."""
+    return zip(*[ws[k:] for k in range(n)])
+
+
 def seed_table(items: dict[int, list[str]], n: int = SEED) -> tuple[dict, set]:
     """``seed -> items`` and the seeds that stand in at most ``RARE`` items."""
-    where: dict[str, set] = defaultdict(set)
+    where: dict[tuple, set] = defaultdict(set)
     for item, ws in items.items():
-        for k in range(len(ws) - n + 1):
-            where[" ".join(ws[k : k + n])].add(item)
+        for seed in runs(ws, n):
+            where[seed].add(item)
     return {s: tuple(sorted(v)) for s, v in where.items()}, {s for s, v in where.items() if len(v) <= RARE}
 
 
@@ -63,13 +68,11 @@ def stretches(ws: list[str], seeds: dict, rare: set, n: int = SEED) -> list[tupl
     """``(item, first, last)``: seed positions of each stretch of the document that may hold an item."""
     hits: dict[int, list[tuple[int, bool]]] = defaultdict(list)
     any_rare = False
-    for k in range(len(ws) - n + 1):
-        s = " ".join(ws[k : k + n])
-        found = seeds.get(s)
-        if found is not None:
+    for k, s in enumerate(runs(ws, n)):
+        if s in seeds:
             r = s in rare
             any_rare |= r
-            for item in found:
+            for item in seeds[s]:
                 hits[item].append((k, r))
     out = []
     if any_rare:
@@ -121,7 +124,7 @@ def leaks(docs: DataFrame, items: DataFrame, items_per_pass: int = ITEMS_PER_PAS
                 found = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) if t for x in leaks_in(t, coded, seeds, rare, ids)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "score", "passage"])
 
-        one = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, words int, score int, passage string")
+        one = spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, item_id long, words int, score int, passage string")
         out = one if out is None else out.unionByName(one)
     return out
 
