@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.session import ship, table
+from graphweft.session import ship, spread, table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -93,7 +93,7 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", folder: str =
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(folder, vocabulary))
     keep = [c for c in df.columns if c not in (column, out)]
-    src = df.select(*keep, F.col(column).alias("__text"))
+    src = spread(df.select(*keep, F.col(column).alias("__text")))
     schema = src.drop("__text").withColumn(out, F.array().cast("array<int>")).schema
 
     def run(batches):
