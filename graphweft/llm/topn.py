@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweft.session import table
+from graphweft.session import BROADCAST_ROWS, cut, table
 
 HOT_ROWS, RANGES, SALTS = 200_000, 64, 8
 
@@ -20,6 +20,17 @@ def _best(df: DataFrame, keys: list[str], score: str, tie: str, n: int) -> DataF
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n)
 
 
+def split(df: DataFrame, keys: list[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows outside and inside the ``heavy`` groups; None if no group is heavy. Few heavy keys are broadcast, many join by shuffle."""
+    heavy = cut(heavy)
+    n = heavy.count()
+    if n == 0:
+        return df, None
+    h = F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy
+    same = [df[k].eqNullSafe(heavy[k]) for k in keys]
+    return df.join(h, same, "left_anti"), df.join(h, same, "left_semi")
+
+
 def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, hot_rows: int = HOT_ROWS, ranges: int = RANGES, salts: int = SALTS) -> DataFrame:
     """The ``n`` rows of each group with the highest ``score``; equal scores in ascending order of ``tie``. Adds ``rank`` from 1.
 
@@ -30,10 +41,11 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, hot_rows
     df = df.drop("rank")
     out = [*df.columns, "rank"]
     number = dict(df.dtypes)[score] in ("double", "float", "int", "bigint", "smallint", "tinyint")
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
-    same = [df[k].eqNullSafe(heavy[k]) for k in keys]
-    cold = _best(df.join(heavy, same, "left_anti"), keys, score, tie, n)
-    hot = df.join(heavy, same, "left_semi")
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).drop("__n")
+    cold, hot = split(df, keys, heavy)
+    cold = _best(cold, keys, score, tie, n)
+    if hot is None:
+        return cold.withColumn("rank", F.col("__rank").cast("int")).select(out)
     if number:
         at = [i / ranges for i in range(1, ranges)]
         bounds = hot.groupBy(*keys).agg(F.percentile_approx(score, F.array(*map(F.lit, at)), F.lit(1000)).alias("__bounds"))
