@@ -14,40 +14,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.topn import latest, top_n
-from graphweft.session import table
+from graphweft.llm.topn import latest, split, top_n
+from graphweft.session import cut, table
 
 #: Percentiles are whole numbers of 0 .. UNIT, so that sums are exact in any order.
 UNIT = 1_000_000_000
-HOT_VALUES, BUCKETS = 200_000, 128
+HOT_ROWS, BUCKETS = 200_000, 128
 
 
-def percentiles(df: DataFrame, keys: list[str], score: str, hot_values: int = HOT_VALUES, buckets: int = BUCKETS) -> DataFrame:
-    """``keys, score, pct``: of each distinct score its mid-percentile ``(average rank - 1/2) / n`` in units of 1e-9, truncated.
+def percentiles(df: DataFrame, keys: list[str], score: str, hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``pct``: each score's mid-percentile within its ``keys``, ``(average rank - 1/2) / n`` in units of 1e-9, truncated.
 
-    Rows are first reduced to distinct scores with counts. Groups with up to ``hot_values`` of them are ranked by one window; larger
-    ones are cut at their own quantiles, ranked within each cut, and moved up by the rows below it: exact at every size.
+    Groups of up to ``hot_rows`` rows are ranked by one window. Larger ones are reduced to distinct scores with counts, cut at their own
+    quantiles, ranked within each cut and moved up by the rows below it: exact at every size.
     """
-    vals = df.groupBy(*keys, score).agg(F.count("*").alias("_c"))
-    hot = vals.groupBy(*keys).agg(F.count("*").alias("_d")).filter(F.col("_d") > hot_values).drop("_d")
-    order = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-
-    def pct(cum: Column, n: Column) -> Column:
-        # 2 * average rank - 1 = 2 * (rows up to here) - (rows here)
-        return F.floor((2 * cum - F.col("_c")) * F.lit(UNIT) / (2 * n)).cast("long").alias("pct")
-
-    cold = vals.join(hot, keys, "left_anti").withColumn("_cum", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(whole))
-    cold = cold.select(*keys, score, pct(F.col("_cum"), F.col("_n")))
-    hv = vals.join(hot, keys, "left_semi")
-    bounds = hv.groupBy(*keys).agg(F.percentile_approx(score, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("_bounds"))
-    hv = hv.join(bounds, keys).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(score)))).drop("_bounds")
-    per = hv.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.coalesce(F.sum("_bc").over(below), F.lit(0))).withColumn("_n", F.sum("_bc").over(whole)).drop("_bc")
-    inside = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hv = hv.withColumn("_in", F.sum("_c").over(inside)).join(per, [*keys, "_b"])
-    return cold.unionByName(hv.select(*keys, score, pct(F.col("_below") + F.col("_in"), F.col("_n"))))
+
+    def pct(twice: Column, n: Column) -> Column:
+        return F.floor(twice * F.lit(UNIT) / (2 * n)).cast("long").alias("pct")
+
+    cold, hot = split(df, keys, df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).drop("__n"))
+    w = Window.partitionBy(*keys)
+    here = F.count("*").over(Window.partitionBy(*keys, score))
+    cold = cold.withColumn("__r", F.rank().over(w.orderBy(score))).withColumn("__h", here).withColumn("__n", F.count("*").over(w))
+    # 2 * average rank - 1 = 2 * (rows below) + (rows here)
+    cold = cold.select(*df.columns, pct(2 * (F.col("__r") - 1) + F.col("__h"), F.col("__n")))
+    if hot is None:
+        return cold
+    vals = hot.groupBy(*keys, score).agg(F.count("*").alias("__c"))
+    bounds = vals.groupBy(*keys).agg(F.percentile_approx(score, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("__bounds"))
+    vals = vals.join(bounds, keys).withColumn("__b", F.size(F.filter("__bounds", lambda b: b < F.col(score)))).drop("__bounds")
+    per = vals.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
+    below = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__below", F.coalesce(F.sum("__bc").over(below), F.lit(0))).withColumn("__n", F.sum("__bc").over(w)).drop("__bc")
+    inside = Window.partitionBy(*keys, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vals = vals.withColumn("__in", F.sum("__c").over(inside)).join(per, [*keys, "__b"])
+    vals = vals.select(*keys, score, pct(2 * (F.col("__below") + F.col("__in")) - F.col("__c"), F.col("__n")))
+    return cold.unionByName(hot.join(vals, [*keys, score]).select(*df.columns, "pct"))
 
 
 def leximin_vector(parts: Column, n_scores: int, vectors: str) -> Column:
@@ -66,11 +68,10 @@ def fuse(scores: DataFrame, n_scores: int, n: int, vectors: str = "leave_one_out
     scores an item can have; those it lacks count as percentile 1/2. Null sources, targets and algorithms are left out.
     """
     scores = scores.select("source_id", "algorithm", "target_id", "score").filter(F.col("score").isNotNull() & F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("algorithm").isNotNull())
-    p = percentiles(scores, ["source_id", "algorithm"], "score")
-    each = scores.join(p, ["source_id", "algorithm", "score"])
+    each = percentiles(scores, ["source_id", "algorithm"], "score")
     items = each.groupBy("source_id", "target_id").agg(F.collect_list("pct").alias("_p"))
     items = items.select("source_id", "target_id", leximin_vector(F.col("_p"), n_scores, vectors).alias("vector"))
-    return top_n(items, ["source_id"], "vector", "target_id", n, hot_rows)
+    return top_n(cut(items), ["source_id"], "vector", "target_id", n, hot_rows)
 
 
 def related_targets(spark: SparkSession, sf_dir: str, n: int = 10, vectors: str = "leave_one_out") -> DataFrame:
@@ -82,7 +83,7 @@ def related_targets(spark: SparkSession, sf_dir: str, n: int = 10, vectors: str
     sources = p.select("source_id").distinct()
     s = table(spark, sf_dir, "similarity_results").select("source_id", F.lit("similarity_results").alias("algorithm"), F.col("id").alias("target_id"), "score", "searched_at")
     s = latest(s.join(sources, "source_id", "left_semi"), ["source_id", "algorithm", "target_id"], "score", "searched_at")
-    return fuse(p.unionByName(s), 6, n, vectors)
+    return fuse(cut(p.unionByName(s)), 6, n, vectors)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_percentiles_cut_and_whole_agree(spark):
         for s in set(own):
             want[g, s] = (2 * sum(v <= s for v in own) - own.count(s)) * ranking.UNIT // (2 * len(own))
     for hot in (10**9, 50):
-        assert {(r.g, r.score): r.pct for r in ranking.percentiles(df, ["g"], "score", hot_values=hot, buckets=7).collect()} == want
+        assert {(r.g, r.score): r.pct for r in ranking.percentiles(df, ["g"], "score", hot_rows=hot, buckets=7).collect()} == want
 
 
 def test_fusion_ignores_scale_and_one_outlier(spark):
