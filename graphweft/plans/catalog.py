@@ -97,3 +97,30 @@ class GraphCatalog:
         from graphweft.plans.compiler import run
 
         return run(self, text, params or {}, **options)
+
+
+class Databases:
+    """Named catalogs: ``SHOW DATABASES``, ``CREATE DATABASE x``, ``DROP DATABASE x``; other statements go to the named catalog."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.catalogs: dict[str, GraphCatalog] = {"system": GraphCatalog.empty(spark, "system")}
+
+    def query(self, text: str, params: dict | None = None, database: str = "system", **options) -> DataFrame:
+        from graphweft.plans.parser import parse
+        from graphweft.plans.syntax import Schema
+
+        first = parse(text).parts[0][0]
+        if isinstance(first, Schema) and "DATABASE" in first.kind:
+            if first.action == "create":
+                if first.name in self.catalogs and not first.options.get("if"):
+                    raise ValueError(f"database {first.name} exists")
+                self.catalogs.setdefault(first.name, GraphCatalog.empty(self.spark, first.name))
+            elif first.action == "drop":
+                if first.name == "system" or (first.name not in self.catalogs and not first.options.get("if")):
+                    raise ValueError(f"database {first.name} cannot be dropped")
+                self.catalogs.pop(first.name, None)
+            return self.spark.createDataFrame([(n, "online") for n in sorted(self.catalogs)], "name string, status string")
+        if database not in self.catalogs:
+            raise ValueError(f"database {database} does not exist")
+        return self.catalogs[database].query(text, params, **options)

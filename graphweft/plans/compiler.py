@@ -348,6 +348,10 @@ class Compiler:
             x = self.id_of(arg.name) if b is not None and b.kind in ("node", "rel") else self.col(arg, env)
             return F.count_distinct(x) if e.distinct else F.count(x)
         x = self.col(arg, env)
+        if name == "·total":
+            return F.coalesce(F.sum(x), F.lit(0)).cast("long")
+        if name == "·mean":
+            return F.try_divide(F.sum(x), F.sum(self.col(e.args[1], env)))
         if name == "collect":
             return F.array_distinct(F.collect_list(x)) if e.distinct else F.collect_list(x)
         t = self.type_of(arg, env)
@@ -447,7 +451,7 @@ class Compiler:
         out, props, trusted = None, [], True
         for t, la, lb, back in self.steps(r, left, right):
             src, dst = (t.dst, t.src) if back else (t.src, t.dst)
-            f = t.df
+            f = t.df if self.visible is None else self.visible(t)
             if back and r.direction == "both":
                 f = f.filter(~F.col(f"`{t.src}`").eqNullSafe(F.col(f"`{t.dst}`"))) if t.src_labels == t.dst_labels else f
             f = f.select(
@@ -1130,16 +1134,29 @@ def needed(clauses: list) -> set[str]:
     return out
 
 
-def run(catalog: GraphCatalog, text: str, params: dict, unique_rels: bool = False, visible=None) -> DataFrame:
-    """Parse, rewrite and compile a statement. ``EXPLAIN`` gives the plan as one column ``plan``."""
+def run(catalog: GraphCatalog, text: str, params: dict, unique_rels: bool = False, now_ms: int | None = None) -> DataFrame:
+    """Parse, rewrite and compile a statement. ``EXPLAIN`` gives the plan as one column ``plan``.
+
+    With ``now_ms`` the decay statements of the catalog apply: nodes and relationships whose score is below their threshold are not read.
+    """
     q = parse(text)
+    visible = None
+    if now_ms is not None and catalog.policies:
+        from graphweft.policy import knowledge
+
+        both = {k: knowledge.from_statements(catalog.policies, k) for k in ("node", "relationship")}
+
+        def visible(t):
+            node = isinstance(t, NodeTable)
+            return knowledge.hide(t, both["node" if node else "relationship"], t.labels if node else (t.type,), now_ms)
+
     result = None
     target = catalog.version()
     for k, part in enumerate(q.parts):
         comp = Compiler(target, params, unique_rels, visible)
         done = rewrites.two_hop_count(comp, part) if not unique_rels and visible is None else None
         if done is None:
-            comp.clauses(part)
+            comp.clauses(rewrites.aggregate_first(comp, part) if visible is None else part)
             done = comp.df if comp.df is not None else catalog.spark.range(0).select()
         if not (isinstance(part[-1], (s.Project, s.CallProc, s.Schema)) or result is not None):
             done = done.select().limit(0)

@@ -33,6 +33,9 @@ def schema_statement(comp, x: s.Schema) -> None:
         comp.df = procedures.show(comp, x.kind)
         comp.scope = {n: Bound("value") for n in comp.df.columns}
         return
+    if "PROFILE" in x.kind or "POLICY" in x.kind:
+        policy_statement(comp, x)
+        return
     store = cat.constraints if "CONSTRAINT" in x.kind else cat.indexes if "INDEX" in x.kind else cat.policies
     name = x.name or f"{x.kind.lower()}_{len(store) + 1}"
     if x.action == "drop":
@@ -54,6 +57,35 @@ def schema_statement(comp, x: s.Schema) -> None:
         check(cat)
 
 
+def policy_statement(comp, x: s.Schema) -> None:
+    """Decay profiles and their bindings, promotion profiles and policies: kept as plain records that ``policy.knowledge`` reads."""
+    store = comp.catalog.policies
+    if x.action == "drop":
+        if x.name not in store and not x.options.get("if"):
+            raise ConstraintError(f"{x.kind.lower()} {x.name} does not exist")
+        store.pop(x.name, None)
+        return
+    given = comp.constant(x.options["options"]) if "options" in x.options else {}
+    if x.action == "alter":
+        if x.name not in store:
+            raise ConstraintError(f"{x.kind.lower()} {x.name} does not exist")
+        old = store[x.name]
+        store[x.name] = old | {"options": old.get("options", {}) | given}
+        return
+    if x.name in store:
+        if x.options.get("if"):
+            return
+        raise ConstraintError(f"{x.kind.lower()} {x.name} exists")
+    record = {"kind": x.kind, "options": given}
+    if "on" in x.options:
+        record |= {"on": x.options["on"], "labels": tuple(x.options["labels"]), "var": x.options.get("var")}
+        record |= {"rules": x.options["rules"], "overrides": {k: comp.constant(v) for k, v in x.options["overrides"].items()}, "on_access": [i.name for i in x.options["on_access"]]}
+        missing = [p for p, _ in record["rules"] if p not in store]
+        if missing:
+            raise ConstraintError(f"profile {missing[0]} does not exist")
+    store[x.name] = record
+
+
 def _frames(cat, rule: dict) -> list[DataFrame]:
     if rule["on"] == "node":
         return [t.df for t in cat.with_labels(tuple(rule["labels"]))]

@@ -275,6 +275,37 @@ def retrieve(comp, o: dict) -> DataFrame:
     return fused.select(F.col("id").alias("node"), F.col("best_score").alias("score"), "rrf_score", "vector_rank", "bm25_rank", F.lit(method).alias("search_method"), F.lit(len(lists) < 2).alias("fallback_triggered"))
 
 
+@register("graph.discover", "node, score, depth")
+def discover(comp, o: dict) -> DataFrame:
+    """Retrieval by parts of a long query, then what lies within ``depth`` hops of the best nodes.
+
+    ``query`` is cut into sentences of up to ``chunkSize`` characters, each retrieved on its own (with ``embeddings[i]``, if given); a
+    node's best score counts, and a neighbour scores half of that per hop.
+    """
+    from graphweft.text.chunks import sentence_chunks
+
+    limit = int(o.get("limit", 10))
+    parts = [c for _, c in sentence_chunks(str(o.get("query", "")), int(o.get("chunkSize", 500)))] or [""]
+    vectors = list(o.get("embeddings") or [])
+    found = None
+    for i, part in enumerate(parts):
+        hits = retrieve(comp, {**o, "query": part, "embedding": vectors[i] if i < len(vectors) else None, "limit": limit}).select("node", F.col("rrf_score").alias("score"))
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy("node").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node").limit(limit)
+    depth = int(o.get("depth", 0))
+    if not depth:
+        return best.withColumn("depth", F.lit(0))
+    from graphweft.session import cut
+
+    best = cut(best)
+    edges, _ = comp.hop_edges(s.RelP(None, (), "both"))
+    edges = edges.withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))
+    near = paths.reachable(edges, best.select(F.col("node").alias("start")), 0, depth, with_paths=True)
+    near = near.join(best.withColumnRenamed("node", "start"), "start").withColumn("depth", F.size("rels"))
+    scored = near.groupBy("node").agg(F.max(F.struct((F.col("score") / F.pow(F.lit(2.0), "depth")).alias("score"), (-F.col("depth")).alias("d"))).alias("x"))
+    return scored.select("node", "x.score", (-F.col("x.d")).alias("depth")).orderBy(F.desc("score"), "node")
+
+
 RETRIEVE = "node, score, rrf_score, vector_rank, bm25_rank, search_method, fallback_triggered"
 register("db.retrieve", RETRIEVE)(retrieve)
 register("db.rretrieve", RETRIEVE)(retrieve)
@@ -302,8 +333,9 @@ def _set_vector(comp, tables: list, id_name: str, id: str, key: str, vector: lis
 
 # -- policy ----------------------------------------------------------------------------------------------------------
 def _bindings(comp) -> list:
-    policy = comp.catalog.policies.get("knowledge")
-    return policy.bindings if policy is not None else []
+    from graphweft.policy import knowledge
+
+    return [b for on in ("node", "relationship") for b in knowledge.from_statements(comp.catalog.policies, on).bindings]
 
 
 @register("graph.knowledgepolicy.info", "bindings")
@@ -329,9 +361,10 @@ def decay_info(comp) -> DataFrame:
 
 @register("graph.knowledgepolicy.resolve", "id, profile")
 def policy_resolve(comp, id: str, labels_csv: str = "", edge_type: str = "") -> DataFrame:
-    policy = comp.catalog.policies.get("knowledge")
+    from graphweft.policy import knowledge
+
     names = [edge_type] if edge_type else [x for x in labels_csv.split(",") if x]
-    b = policy.resolve(names) if policy is not None else None
+    b = knowledge.from_statements(comp.catalog.policies, "relationship" if edge_type else "node").resolve(names)
     return rows(comp, [(str(id), b.profile.name if b else None)], "id string, profile string")
 
 

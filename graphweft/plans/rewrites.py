@@ -38,3 +38,96 @@ def two_hop_count(comp, clauses: list) -> DataFrame | None:
         sides.append(f.groupBy(F.col(f"`{r.var}{SEP}{'~to' if k == 0 else '~from'}`").alias("b")).agg(F.count(F.lit(1)).alias(f"n{k}")))
     total = sides[0].join(sides[1], "b").agg(F.coalesce(F.sum(F.col("n0") * F.col("n1")), F.lit(0)).cast("long").alias(p.items[0].alias or p.items[0].text))
     return total
+
+
+def aggregate_first(comp, clauses: list) -> list:
+    """``MATCH (x)-[r]-(y)`` followed by aggregates over ``r`` and counts of ``y`` per properties of ``x``: the relationships are aggregated
+    per end before they meet the table of ``x``, so the join has one row per node instead of one per relationship.
+
+    Binds ``x`` and the partial aggregates in ``comp`` and gives the clauses that remain; other statements are given back as they are.
+    """
+    if len(clauses) < 2 or not isinstance(clauses[0], s.Match) or not isinstance(clauses[1], s.Project):
+        return clauses
+    m, p = clauses[:2]
+    if m.optional or m.where is not None or len(m.paths) != 1 or p.star or p.distinct or p.where is not None:
+        return clauses
+    path = m.paths[0]
+    if len(path.rels) != 1 or path.var or path.shortest or path.rels[0].many or path.rels[0].props is not None:
+        return clauses
+    path = comp.named((path,))[0]
+    r, ends = path.rels[0], path.nodes
+    used = {v.name for i in p.items for v in s.walk(i.expr) if isinstance(v, s.Var)} | {v.name for o in p.order for v in s.walk(o.expr) if isinstance(v, s.Var)}
+    aggs = list(dict.fromkeys(x for i in p.items for x in s.walk(i.expr) if isinstance(x, s.Fn) and x.name.lower() in s.AGGREGATES))
+    inside = {v.name for a in aggs for v in s.walk(a.args) if isinstance(v, s.Var)}
+    outside = {v.name for i in p.items for v in s.walk(_without(i.expr, aggs)) if isinstance(v, s.Var)}
+    if not aggs or ends[0].var == ends[1].var or r.var in outside:
+        return clauses
+    keyed = [k for k, n in enumerate(ends) if n.var in outside]
+    if len(keyed) != 1:
+        return clauses
+    x, y = ends[keyed[0]], ends[1 - keyed[0]]
+    if x.var in inside or y.props is not None or any(isinstance(v, (s.Exists, s.PatternList)) for i in p.items for v in s.walk(i.expr)):
+        return clauses
+    if any(v in used for v in (y.var, r.var)) and any(isinstance(v, s.Var) and v.name in (y.var, r.var) for o in p.order for v in s.walk(_without(o.expr, aggs))):
+        return clauses
+    plan = []
+    for a in aggs:
+        name, arg = a.name.lower(), a.args[0]
+        if a.distinct or name not in ("count", "sum", "avg", "min", "max"):
+            return clauses
+        whole = arg == s.Lit("*") or isinstance(arg, s.Var) and arg.name in (y.var, r.var)
+        prop = isinstance(arg, s.Prop) and arg.of == s.Var(r.var)
+        if not (name == "count" and whole or prop):
+            return clauses
+        plan.append((a, name, None if whole else arg.name))
+    if keyed[0] == 1:
+        r = replace(r, direction={"out": "in", "in": "out", "both": "both"}[r.direction])
+    cand = comp.candidates((replace(path, nodes=(x, y), rels=(r,)),))
+    natives = (comp.native(x.var, cand[x.var]), comp.native(y.var, cand[y.var]))
+    f, props, trusted = comp.rel_frame(r, x.var, y.var, cand[x.var], cand[y.var], natives)
+    if not trusted or not comp.implied(r, cand[x.var], cand[y.var], True) or any(q is not None and q not in props for _, _, q in plan):
+        return clauses
+    from pyspark.sql import types as T
+
+    from graphweft.functions.scalars import is_number
+
+    parts, terms = [], {}
+    for k, (a, name, q) in enumerate(plan):
+        c = F.col(f"`{r.var}{SEP}{q}`") if q else F.lit(1)
+        t = f.schema[f"{r.var}{SEP}{q}"].dataType if q else T.LongType()
+        number = c.cast("double") if is_number(t) else c.try_cast("double")
+        n, n2 = f"{SEP}g{k}", f"{SEP}h{k}"
+        if name == "count":
+            parts.append(F.count(c).alias(n))
+            terms[a] = s.Fn("·total", (s.Var(n),))
+        elif name == "avg":
+            parts += [F.sum(number).alias(n), F.count(number).alias(n2)]
+            terms[a] = s.Fn("·mean", (s.Var(n), s.Var(n2)))
+        else:
+            v = number if name == "sum" or is_number(t) else c
+            parts.append({"sum": F.sum, "min": F.min, "max": F.max}[name](v).alias(n))
+            terms[a] = s.Fn(name, (s.Var(n),))
+    g = f.groupBy(F.col(f"`{r.var}{SEP}~from`").alias(f"{SEP}end")).agg(*parts)
+    comp.needs |= {x.var}
+    comp.scan(x, cand[x.var])
+    comp.df = comp.df.join(g, F.col(f"`{x.var}{SEP}_id`") == F.col(f"`{SEP}end`")).drop(f"{SEP}end")
+    from graphweft.plans.compiler import Bound
+
+    comp.scope |= {n: Bound("value") for n in g.columns if n != f"{SEP}end"}
+    items = [s.Item(_replaced(i.expr, terms), i.alias or i.text, i.text) for i in p.items]
+    order = [s.Order(_replaced(o.expr, terms), o.descending) for o in p.order]
+    return [replace(p, items=items, order=order), *clauses[2:]]
+
+
+def _without(e, aggs: list):
+    return _replaced(e, {a: s.Lit(None) for a in aggs})
+
+
+def _replaced(e, terms: dict):
+    if isinstance(e, s.Fn) and e in terms:
+        return terms[e]
+    if isinstance(e, tuple):
+        return tuple(_replaced(x, terms) for x in e)
+    if hasattr(e, "__dataclass_fields__"):
+        return replace(e, **{f: _replaced(getattr(e, f), terms) for f in e.__dataclass_fields__ if isinstance(getattr(e, f), tuple) or hasattr(getattr(e, f), "__dataclass_fields__")})
+    return e

@@ -270,7 +270,8 @@ class Query:
     explain: bool = False
 
 
-AGGREGATES = frozenset({"count", "collect", "sum", "avg", "min", "max", "stdev", "stdevp"})
+#: The last two exist in rewritten statements only: the sum of partial counts, and a mean from partial sums and counts.
+AGGREGATES = frozenset({"count", "collect", "sum", "avg", "min", "max", "stdev", "stdevp", "·total", "·mean"})
 
 
 def walk(node, into_patterns: bool = True):

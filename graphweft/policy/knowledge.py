@@ -64,6 +64,51 @@ class KnowledgePolicy:
         return by.get(())
 
 
+def from_statements(records: dict, on: str = "node") -> KnowledgePolicy:
+    """The policy that decay and promotion statements have defined for nodes or relationships."""
+    import re
+
+    def enabled(r: dict) -> bool:
+        return r.get("options", {}).get("enabled", True)
+
+    promotions: dict[tuple, list[Promotion]] = {}
+    for r in records.values():
+        if isinstance(r, dict) and "POLICY" in r.get("kind", "") and r.get("on") == on and enabled(r):
+            for name, when in r["rules"]:
+                o = records[name]["options"]
+                if o.get("enabled", True):
+                    text = re.sub(rf"\b{re.escape(r['var'])}\.", "", when) if when and r.get("var") else when or "true"
+                    promotions.setdefault(tuple(sorted(r["labels"])), []).append(Promotion(text, o.get("multiplier", 1.0), o.get("scoreFloor", 0.0), o.get("scoreCap", 1.0)))
+    out = []
+    for r in records.values():
+        if isinstance(r, dict) and r.get("kind") == "DECAY PROFILE" and r.get("on") == on and enabled(r):
+            for name, _ in r["rules"]:
+                o = records[name]["options"] | r["overrides"]
+                if not o.get("enabled", True):
+                    continue
+                p = Profile(name, int(float(o.get("halfLifeSeconds", 604_800)) * 1000), o.get("function", "exponential"), o.get("visibilityThreshold", 0.0), o.get("scoreFloor", 0.0), o.get("scoreFrom", "CREATED"), o.get("scoreFromProperty"), o.get("noDecay", False))
+                out.append(Binding(tuple(r["labels"]), p, tuple(promotions.get(tuple(sorted(r["labels"])), ())), int(o.get("order", 0))))
+    return KnowledgePolicy(out)
+
+
+def hide(table, policy: KnowledgePolicy, names: tuple[str, ...], now_ms: int) -> DataFrame:
+    """The rows of a catalog table that its policy shows. Rows without an anchor are shown; a condition on a missing property is false."""
+    b = policy.resolve(names)
+    df = table.df
+    if b is None or ("created_at_unix_ms" not in df.columns and b.profile.anchor != "CUSTOM"):
+        return df
+    have = set(df.columns)
+    usable = []
+    for m in b.promotions:
+        try:
+            df.select(F.expr(m.when))
+            usable.append(m)
+        except Exception:  # noqa: BLE001
+            continue
+    _, _, hidden = scores(df.withColumn("created_at_unix_ms", F.lit(None).cast("long")) if "created_at_unix_ms" not in have else df, Binding(b.labels, b.profile, tuple(usable), b.order), now_ms)
+    return df.filter(~hidden)
+
+
 def decay_score(age_ms: Column, half_life_ms: int, function: str) -> Column:
     """The score of an age; negative ages count as 0."""
     if function == "none" or half_life_ms == 0:
@@ -82,7 +127,8 @@ def anchor(p: Profile, columns: list[str]) -> Column:
     if p.anchor == "VERSION":
         return F.coalesce("updated_at_unix_ms", created) if "updated_at_unix_ms" in columns else created
     if p.anchor == "LAST_ACCESSED":
-        return F.coalesce("last_accessed_at", created) if "last_accessed_at" in columns else created
+        seen = [F.col(x) for x in ("lastAccessedAt", "last_accessed_at") if x in columns]
+        return F.coalesce(*seen, created) if seen else created
     if p.anchor == "CUSTOM":
         return F.col(p.anchor_property).try_cast("bigint") if p.anchor_property in columns else F.lit(None).cast("long")
     return created

@@ -8,7 +8,20 @@ from graphweft.plans.catalog import GraphCatalog
 from graphweft.session import table
 
 
+_built: dict[tuple[str, str], GraphCatalog] = {}
+
+
 def build(spark: SparkSession, sf_dir: str) -> GraphCatalog:
+    """The graph of a data folder. The catalog (schemas and views, no rows) is kept per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        if len(_built) >= 16:
+            _built.clear()
+        _built[key] = _views(spark, sf_dir)
+    return _built[key].version()
+
+
+def _views(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     t = lambda n: table(spark, sf_dir, n)
     g = GraphCatalog(spark)
     for label, name, key in (

@@ -33,15 +33,13 @@ def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return t.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(query: str, lexicon: DataFrame | None, expand: bool = True) -> DataFrame:
-    """``term, weight``: 1 per occurrence in the query, and 0.8 for each of up to 32 terms a token is the beginning of, in term order."""
-    import re
+def query_terms(query: str, lexicon: DataFrame, expand: bool = True) -> DataFrame:
+    """``term, weight``: 1 per occurrence in the query, and 0.8 for each of up to 32 terms a token is the beginning of, in term order.
 
+    At most a query's own words and 32 terms for each: few enough to broadcast.
+    """
     spark = lexicon.sparkSession
-    found = [t.lower() for t in re.findall(r"[^\W_]+", query)]
-    found = [t for t in found if len(t.encode()) >= 2 and t not in STOP_WORDS]
-    if not found:
-        return spark.createDataFrame([], "term string, weight double")
+    found = _found(query)
     own = spark.createDataFrame([(t, 1.0) for t in found], "term string, weight double")
     long = [t for t in found if len(t.encode()) >= PREFIX_LENGTH]
     if expand and long:
@@ -52,10 +50,32 @@ def query_terms(query: str, lexicon: DataFrame | None, expand: bool = True) -> D
     return own.groupBy("term").agg(F.sum("weight").alias("weight"))
 
 
+def _found(query: str) -> list[str]:
+    import re
+
+    return [t for t in (x.lower() for x in re.findall(r"[^\W_]+", query)) if len(t.encode()) >= 2 and t not in STOP_WORDS]
+
+
 def bm25(df: DataFrame, id_col: str, text: Column, query: str, expand: bool = True) -> DataFrame:
-    """``id, score`` of the documents with any query term, not sorted. Documents without tokens count in N, not in the lengths' sum."""
-    p = postings(df, id_col, text)
-    stats = df.select(F.size(tokens(text)).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_len"))
+    """``id, score`` of the documents with any query term, not sorted. Documents without tokens count in N, not in the lengths' sum.
+
+    Only tokens the query can reach (its own, and those it is a beginning of) are exploded and shuffled; the other tokens count for the
+    length of their document alone.
+    """
+    wanted = _found(query)
+    if not wanted:
+        return df.select(F.col(f"`{id_col}`").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    long = [t for t in wanted if len(t.encode()) >= PREFIX_LENGTH] if expand else []
+
+    def reached(t: Column) -> Column:
+        out = t.isin(*wanted)
+        for w in long:
+            out = out | F.startswith(t, F.lit(w))
+        return out
+
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), tokens(text).alias("t"))
+    stats = docs.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avg_len"))
+    p = docs.select("id", F.size("t").alias("len"), F.explode(F.filter("t", reached)).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df_of = p.groupBy("term").agg(F.count("*").alias("df"))
     terms = query_terms(query, df_of.select("term"), expand)
     weighted = df_of.join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))

@@ -20,6 +20,11 @@ def knn(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int,
     return df.select(F.col(f"`{id_col}`").alias("id"), score.alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def rescore(candidates: DataFrame, vectors: DataFrame, query: list[float], k: int) -> DataFrame:
+    """``id, score`` of the candidates (``id``) by the stored vectors (``id, vector``): exact cosine, the best ``k``."""
+    return knn(vectors.join(candidates.select("id").distinct(), "id", "left_semi"), "id", "vector", query, k)
+
+
 def ranked(hits: DataFrame) -> DataFrame:
     """Adds ``rank`` from 1 by score, then id. Meant for result lists that were cut to a limit."""
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))

@@ -140,6 +140,18 @@ def import_graph(spark: SparkSession, node_files: list[str], rel_files: list[str
     return cat, {"relationships_imported": read, "bad_relationships": bad}
 
 
+def preflight(spark: SparkSession, files: list[tuple[str, str]], delimiter: str = ",", quote: str = '"') -> DataFrame:
+    """``path, target, ok, columns, error`` of ``(path, target)`` files; reads their headers only."""
+    rows = []
+    for path, target in files:
+        try:
+            head = [x or "" for x in read_text(spark, path, delimiter, quote).first()]
+            rows.append((path, target, True, len(parse_header(head, target)), None))
+        except Exception as e:  # noqa: BLE001
+            rows.append((path, target, False, 0, str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(rows, "path string, target string, ok boolean, columns int, error string")
+
+
 def _value(i: int, empty_as_null: bool) -> Column:
     c = F.col(f"_c{i}")
     return F.when(c != "", c) if empty_as_null else c

@@ -189,3 +189,37 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = build(spark, sf).query("EXPLAIN MATCH (o:Order) WHERE o.o_totalprice > 1000 RETURN o.o_orderkey AS k").first()[0]
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_decay_statements_hide_stale_nodes_and_relationships(spark):
+    g = GraphCatalog.empty(spark)
+    g.query("CREATE (a:Memo {k: 'old', created_at_unix_ms: 0, hits: 5})-[:LINKS {created_at_unix_ms: 0}]->(b:Memo {k: 'new', created_at_unix_ms: 9000, hits: 0}), (c:Memo {k: 'dull', created_at_unix_ms: 0, hits: 0})")
+    g.query("CREATE DECAY PROFILE p OPTIONS { halfLifeSeconds: 1, visibilityThreshold: 0.3, scoreFloor: 0.0, function: 'linear', scope: 'NODE', scoreFrom: 'CREATED', enabled: true }")
+    g.query("CREATE DECAY PROFILE b FOR (n:Memo) APPLY { DECAY PROFILE p, order: 10 }")
+    g.query("CREATE DECAY PROFILE e FOR ()-[r:LINKS]-() APPLY { DECAY PROFILE p, visibilityThreshold: 0.2, order: 1 }")
+    g.query("CREATE PROMOTION PROFILE up OPTIONS { scope: 'NODE', multiplier: 1.5, scoreFloor: 0.9, scoreCap: 1.0, enabled: true }")
+    g.query("CREATE PROMOTION POLICY pp FOR (n:Memo) APPLY { ON ACCESS { SET n.lastAccessedAt = timestamp() SET n.hits = coalesce(n.hits, 0) + 1 } APPLY PROFILE up WHEN 'n.hits >= 3' }")
+    seen = lambda: [r.k for r in g.query("MATCH (n:Memo) RETURN n.k AS k ORDER BY k", now_ms=9500).collect()]
+    assert seen() == ["new", "old"] and len(rows(g, "MATCH (n:Memo) RETURN n.k")) == 3
+    assert g.query("MATCH (a)-[r:LINKS]->(b) RETURN count(*) AS n", now_ms=9500).first()[0] == 0
+    g.query("ALTER PROMOTION POLICY pp SET ENABLED false")
+    assert seen() == ["new"]
+    g.query("ALTER DECAY PROFILE p SET OPTIONS { visibilityThreshold: 0.0 }")
+    assert seen() == ["dull", "new", "old"]
+    assert rows(g, "CALL graph.knowledgepolicy.resolve('x', 'Memo', '') YIELD profile RETURN profile") == [("p",)]
+    assert {r.name for r in g.query("SHOW DECAY PROFILES").collect()} == {"p", "b", "e", "up", "pp"}
+    with pytest.raises(ConstraintError):
+        g.query("CREATE DECAY PROFILE z FOR (n:X) APPLY { DECAY PROFILE nope }")
+    g.query("DROP DECAY PROFILE b")
+
+
+def test_relationships_are_aggregated_before_the_join(retail, social):
+    plan = retail.query("EXPLAIN MATCH (p:Product)<-[r:ORDERS]-(o:Order) RETURN p.productName AS n, count(o) AS k, avg(r.quantity) AS a").first()[0]
+    tree = plan.split("\n\n")[0]
+    assert tree.index("Join") < tree.rindex("HashAggregate")  # one aggregation lies below the join
+    q = "MATCH (p:Product)<-[r:ORDERS]-(o:Order) RETURN p.productName AS n, count(o) AS k, sum(r.quantity) AS s, avg(r.quantity) AS a, min(r.quantity) AS lo, max(r.quantity) AS hi, count(*) + 1 AS c ORDER BY k DESC"
+    assert rows(retail, q) == [("Alpha", 2, 5.0, 2.5, 2.0, 3.0, 3), ("Beta", 1, 4.0, 4.0, 4.0, 4.0, 2)]
+    assert rows(social, "MATCH (a:Person)<-[r:FOLLOWS]-(b) RETURN a.name AS a, avg(r.w) AS m, count(r.w) AS n ORDER BY a") == [("Ann", 2.5, 2), ("Bob", 5.0, 1), ("Cat", 9.0, 1)]
+    assert rows(social, "MATCH (a:Person)-[r:FOLLOWS]-(b) RETURN a.age > 26 AS k, count(b) AS n ORDER BY k") == [(False, 4), (True, 6)]
+    assert rows(social, "MATCH (a:Person {name: 'Ann'})<-[r:FOLLOWS]-(b) WITH a, count(b) AS n WHERE n > 1 RETURN a.name AS a, n") == [("Ann", 3)]
+    assert rows(social, "MATCH (a:Person)<-[r:FOLLOWS]-(b) RETURN a.name AS a, collect(b.name) AS l ORDER BY a")[1:] == [("Bob", ["Ann"]), ("Cat", ["Ann"])]

@@ -173,6 +173,9 @@ def test_search_procedures(spark):
     assert [r.node for r in g.query("CALL db.index.vector.queryNodes('vx', 1, [1.0, 0.1]) YIELD node RETURN node").collect()] == [ids["red apple"]]
     got = g.query("CALL db.retrieve({query: 'apple', embedding: [0.0, 1.0], limit: 2}) YIELD node, rrf_score, search_method RETURN node, search_method ORDER BY rrf_score DESC").collect()
     assert got[0].node == ids["green apple"] and got[0].search_method == "rrf_hybrid"
+    g.query("MATCH (a:Doc {t: 'plum'}), (b:Doc {t: 'red apple'}) CREATE (a)-[:NEAR]->(b)")
+    got = {r.node: r.depth for r in g.query("CALL graph.discover({query: 'red. green.', depth: 1, limit: 2})").collect()}
+    assert got == {ids["red apple"]: 0, ids["green apple"]: 0, ids["plum"]: 1}
 
 
 def test_streaming_co_access(spark, tmp_path):
@@ -194,3 +197,31 @@ def test_functions_registry():
     assert len(REGISTRY) > 110
     with pytest.raises(ValueError):
         register("toUpper")(lambda c: c)
+
+
+def test_versions_databases_and_preflight(spark, tmp_path):
+    from graphweft.operators import versions
+    from graphweft.plans.catalog import Databases
+
+    c = spark.createDataFrame([("a", 1, "x", False), ("a", 3, "y", False), ("b", 2, "z", False), ("b", 4, None, True)], "id string, version long, v string, deleted boolean")
+    see = lambda at: {r.id: r.v for r in versions.snapshot(c, "id", at).collect()}
+    assert see(0) == {} and see(2) == {"a": "x", "b": "z"} and see(9) == {"a": "y"}
+    assert {(r.id, r.version, r.next_version) for r in versions.intervals(c, "id").collect()} == {("a", 1, 3), ("a", 3, None), ("b", 2, 4), ("b", 4, None)}
+    assert [(r.id, r.changes) for r in versions.changed_between(c, "id", 1, 3).orderBy("id").collect()] == [("a", 1), ("b", 1)]
+    d = Databases(spark)
+    d.query("CREATE DATABASE one")
+    d.query("CREATE (:X {k: 1})", database="one")
+    assert d.query("MATCH (x:X) RETURN x.k AS k", database="one").first()[0] == 1
+    assert [r.name for r in d.query("SHOW DATABASES").collect()] == ["one", "system"]
+    d.query("DROP DATABASE one")
+    with pytest.raises(ValueError):
+        d.query("RETURN 1 AS x", database="one")
+    (tmp_path / "n.csv").write_text(":ID,name\n1,a\n")
+    (tmp_path / "r.csv").write_text(":START_ID,w:int\n1,2\n")
+    got = graphfiles.preflight(spark, [(str(tmp_path / "n.csv"), "node"), (str(tmp_path / "r.csv"), "relationship"), (str(tmp_path / "none.csv"), "node")]).collect()
+    assert [(r.ok, r.columns) for r in got] == [(True, 2), (False, 0), (False, 0)]
+
+
+def test_rescore_uses_stored_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1])], "id int, vector array<double>")
+    assert [r.id for r in ranking.rescore(spark.createDataFrame([(2,), (3,), (3,)], "id int"), v, [1.0, 0.0], 5).collect()] == [3, 2]
