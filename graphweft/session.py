@@ -67,7 +67,18 @@ def settle(df: DataFrame) -> DataFrame:
     plain = df.select(*[F.col(f"`{n}`").cast("string").alias(n) if t == "void" else F.col(f"`{n}`") for n, t in df.dtypes])
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/graphweft-tables/{uuid.uuid4().hex}"
     plain.write.parquet(path)
-    return df.sparkSession.read.schema(plain.schema).parquet(path)
+    out = df.sparkSession.read.schema(plain.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a settled frame that nothing will read any more: all that was made from it is written."""
+    path = getattr(df, "settled_at", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
