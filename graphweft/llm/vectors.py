@@ -1,9 +1,10 @@
 """Most similar vectors by randomly rotated one-bit codes.
 
 Each unit vector is padded to a multiple of 64 dimensions and turned by a random rotation that depends on the dimension only; its code is
-the signs of the result, 16 bytes for 96 or 128 dimensions, with one correction scalar. Against a query that is quantised to four
-bits per dimension the inner product is estimated from counts of common bits; the error of the estimate is bounded with the scalar,
-and only vectors whose upper bound reaches what is asked for are reranked with the stored vectors.
+the signs of what lies between it and the centroid of its cell, 16 bytes for 96 or 128 dimensions, with three correction scalars.
+Against a query that is quantised to four bits per dimension the inner product is estimated from counts of common bits; the error of
+the estimate is bounded with the scalars (the closer both are to the centroid, the tighter), and only vectors whose upper bound
+reaches what is asked for are reranked with the stored vectors.
 
 :func:`similar_pairs` finds the pairs above a similarity among the ten most similar of every vector: exact copies are first merged,
 then vectors are sorted into cells around centroids that are fitted on a bounded sample (``SAMPLE`` vectors a collection); the codes
@@ -21,18 +22,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweft.session import cut, ship, table
+from graphweft.session import cut, discard, settle, ship, table
 
 #: Vectors per collection on which centroids are fitted; vectors per cell aimed at; most cells of a collection; cells a code goes to.
 SAMPLE, PER_CELL, MAX_CELLS, PROBES = 40_000, 300, 8_192, 4
 #: Rows of a cell that one task compares at once.
 BLOCK = 8_192
-#: The bound holds the true value with this many standard deviations on either side.
-EPSILON = 3.0
+#: The bounds lie this many standard deviations from the estimate: against the similarity asked for, and against a query's k-th best.
+EPSILON, EPSILON_KTH = 3.0, 1.9
 #: An exact copy is visible to others if it is among this many first ids of its group (k + 1: enough for k neighbours).
 K = 10
 
-CODE = "field string, space string, gid long, cell int, role byte, code binary, a float, b float"
+CODE = "coll short, gid long, cell int, role byte, code binary"
 
 
 def usable(v: Column, dims: Column) -> Column:
@@ -75,10 +76,10 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def encode(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows of uint64 words) and the inner product of each code's vector with the turned unit vector it stands for."""
-    bits = turned > 0
-    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    return words, (np.abs(turned).sum(1) / np.sqrt(turned.shape[1])).astype(np.float32)
+    """Codes (rows of uint64 words) and the cosine between each code's vector and the turned vector it stands for."""
+    words = np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64)
+    size = np.maximum(np.linalg.norm(turned, axis=1), 1e-12)
+    return words, np.maximum(np.abs(turned).sum(1) / size / np.sqrt(turned.shape[1]), 1e-3).astype(np.float32)
 
 
 def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,16 +92,21 @@ def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def estimate(planes: np.ndarray, low: np.ndarray, step: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (queries x codes) and the half width of their bounds (codes)."""
+    """Estimated inner products of the queries with the unit vectors of the codes (queries x codes), and the standard deviation of each
+    code's estimate for a query of length 1."""
     size = codes.shape[1] * 64
     dot = np.zeros((len(planes), len(codes)), np.float32)
     for j in range(4):
+        common = np.zeros(dot.shape, np.uint8)
         for w in range(codes.shape[1]):
-            dot += np.float32(1 << j) * np.bitwise_count(planes[:, j, w, None] & codes[None, :, w])
+            common += np.bitwise_count(planes[:, j, w, None] & codes[None, :, w])
+        dot += np.float32(1 << j) * common
     ones = np.bitwise_count(codes).sum(1).astype(np.float32)
     total = size * low + step * sum((1 << j) * np.bitwise_count(planes[:, j]).sum(1).astype(np.float32) for j in range(4))
-    est = (2 * (low[:, None] * ones[None] + step[:, None] * dot) - total[:, None]) / np.float32(np.sqrt(size)) / scale[None]
-    return est, EPSILON * np.sqrt(np.maximum(1 - scale**2, 0)) / scale / np.sqrt(size - 1)
+    dot *= 2 * step[:, None]
+    dot += 2 * low[:, None] * ones[None] - total[:, None]
+    dot /= np.float32(np.sqrt(size)) * scale[None]
+    return dot, np.sqrt(np.maximum(1 - scale**2, 0)) / scale / np.sqrt(size - 1)
 
 
 def _matrix(vecs) -> np.ndarray:
@@ -127,10 +133,10 @@ def merge_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     x = vectors.withColumn("_h", F.struct(F.xxhash64("vec").alias("a"), F.hash("vec").cast("long").alias("b")))
     groups = x.groupBy("field", "space", "_h").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("rep"), F.max("id").alias("_last"))
-    groups = cut(groups.withColumn("gid", F.monotonically_increasing_id()))
-    several = groups.filter(F.col("rep") != F.col("_last")).select("field", "space", "_h", "gid")
+    groups = settle(groups.select("field", "space", F.col("_h.a").alias("h1"), F.col("_h.b").alias("h2"), "vec", "rep", "_last").withColumn("gid", F.monotonically_increasing_id()))
+    several = groups.filter(F.col("rep") != F.col("_last")).select("field", "space", F.struct(F.col("h1").alias("a"), F.col("h2").alias("b")).alias("_h"), "gid")
     members = x.select("field", "space", "_h", "id").join(several, ["field", "space", "_h"]).select("field", "space", "gid", "id").distinct()
-    return groups.select("field", "space", "gid", "vec", "rep"), members
+    return groups, members
 
 
 def _models(groups: DataFrame, sample: int, per_cell: int, max_cells: int) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
@@ -151,25 +157,46 @@ def _models(groups: DataFrame, sample: int, per_cell: int, max_cells: int) -> di
     return out
 
 
-def _coded(models: dict, probes: int):
-    """Rows for the cells: role 0 with code and scalar in the nearest ``probes`` cells, role 1 as a query in the nearest."""
+def _packed(words: np.ndarray, *scalars: np.ndarray) -> list[bytes]:
+    """One byte string per row: its scalars (float32), then its words."""
+    head = np.stack(scalars, 1).astype(np.float32).view(np.uint8)
+    return [bytes(r) for r in np.concatenate([head, words.reshape(len(words), -1).view(np.uint8)], 1)]
+
+
+def _unpacked(rows, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words (uint64) and the ``n`` scalars of packed rows."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    scalars = np.ascontiguousarray(raw[:, : 4 * n]).view(np.float32)
+    return np.ascontiguousarray(raw[:, 4 * n :]).view(np.uint64), list(scalars.T)
+
+
+def _coded(models: list, probes: int):
+    """Rows for the cells. Role 0, in the nearest ``probes`` cells: code, cosine of the code, length from the centroid, product with the
+    centroid. Role 1, in the nearest: bit planes as a query, their lower end and step, length from and product with the centroid."""
 
     def rows(batches):
-        cols = ["field", "space", "gid", "cell", "role", "code", "a", "b"]
-        for b in batches:
-            for key, g in b.groupby(["field", "space"], sort=False):
-                turn, centres = models[key]
+        at = {key: k for k, (key, *_) in enumerate(models)}
+        cols = ["coll", "gid", "cell", "role", "code"]
+        for batch in batches:
+            for key, g in batch.groupby(["field", "space"], sort=False):
+                _, turn, centres = models[at[key]]
+                turned_centres, own = centres @ turn, (centres**2).sum(1)
                 for lo in range(0, len(g), 1024):
                     s = g.iloc[lo : lo + 1024]
                     x = _matrix(s["vec"])
-                    t = x @ turn
-                    codes, scale = encode(t)
-                    planes, low, step = quantise(t)
+                    t, near_all = x @ turn, x @ centres.T
                     p = min(probes, len(centres))
-                    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :p] if len(centres) <= 4 * p else _top(x @ centres.T, p)
+                    near = _top(near_all - own / 2, p)  # the closest centroids, as they are not of one length
                     gid = s["gid"].to_numpy()
-                    yield pd.DataFrame({"gid": np.repeat(gid, p), "cell": near.ravel(), "role": 0, "code": [c for c in map(bytes, codes) for _ in range(p)], "a": np.repeat(scale, p), "b": np.float32(0)}).assign(field=key[0], space=key[1])[cols]
-                    yield pd.DataFrame({"gid": gid, "cell": near[:, 0], "role": 1, "code": [q.tobytes() for q in planes], "a": low, "b": step}).assign(field=key[0], space=key[1])[cols]
+                    for k in range(p):
+                        r = t - turned_centres[near[:, k]]
+                        codes, scale = encode(r)
+                        length = np.linalg.norm(r, axis=1)
+                        product = np.take_along_axis(near_all, near[:, k : k + 1], 1)[:, 0]
+                        yield pd.DataFrame({"coll": at[key], "gid": gid, "cell": near[:, k], "role": 0, "code": _packed(codes, scale, length, product)})[cols]
+                        if k == 0:
+                            planes, low, step = quantise(r)
+                            yield pd.DataFrame({"coll": at[key], "gid": gid, "cell": near[:, 0], "role": 1, "code": _packed(planes, low, step, product - own[near[:, 0]], length)})[cols]
 
     return rows
 
@@ -187,25 +214,26 @@ def _candidates(least: float, k: int):
         base, query = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
         out = []
         if len(base) and len(query):
-            codes = np.frombuffer(b"".join(base["code"]), np.uint64).reshape(len(base), -1)
-            planes = np.frombuffer(b"".join(query["code"]), np.uint64).reshape(len(query), 4, -1)
+            codes, (scale, length, with_centre) = _unpacked(base["code"], 3)
+            planes, (low, step, own, away) = _unpacked(query["code"], 4)
+            planes = planes.reshape(len(query), 4, -1)
             bid, qid = base["gid"].to_numpy(), query["gid"].to_numpy()
-            scale, low, step = base["a"].to_numpy(), query["a"].to_numpy(), query["b"].to_numpy()
             block = max(1, 1_000_000 // len(base))
             for lo in range(0, len(query), block):
                 s = slice(lo, lo + block)
-                est, half = estimate(planes[s], low[s], step[s], codes, scale)
+                est, sigma = estimate(planes[s], low[s], step[s], codes, scale)
+                est *= length[None]
+                est += with_centre[None] + own[s][:, None]
+                sigma = (sigma * length)[None] * away[s][:, None]
                 est[qid[s][:, None] == bid[None]] = -9
-                lower = est - half
+                want = est + EPSILON * sigma >= least
                 if len(base) > k:
-                    kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1]
-                else:
-                    kth = np.full(len(lower), -9, np.float32)
-                i, j = np.nonzero(est + half >= np.maximum(kth, least)[:, None])
-                keep = est[i, j] > -8
-                out.append(np.stack([qid[s][i[keep]], bid[j[keep]]], 1))
+                    kth = -np.partition(EPSILON_KTH * sigma - est, k - 1, axis=1)[:, k - 1]
+                    want &= est + EPSILON_KTH * sigma >= kth[:, None]
+                i, j = np.nonzero(want & (est > -8))
+                out.append(np.stack([qid[s][i], bid[j]], 1))
         m = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"field": pdf["field"].iloc[0], "space": pdf["space"].iloc[0], "x": m.min(1, initial=2**63 - 1), "y": m.max(1, initial=-(2**63))})
+        return pd.DataFrame({"coll": pdf["coll"].iloc[0], "x": m.min(1, initial=2**63 - 1), "y": m.max(1, initial=-(2**63))})
 
     return pairs
 
@@ -220,7 +248,7 @@ def _cosine(a: Column, b: Column) -> Column:
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
     """Adds ``bb`` and ``qb``: a cell's codes and queries are cut into blocks of about ``block`` rows, and every block of codes meets
     every block of queries. The row counts per cell are few: at most MAX_CELLS a collection."""
-    cell = ["field", "space", "cell"]
+    cell = ["coll", "cell"]
     size = rows.groupBy(*cell).agg(F.sum((F.col("role") == 0).cast("int")).alias("nb"), F.sum((F.col("role") == 1).cast("int")).alias("nq"))
     size = size.select(*cell, F.ceil(F.col("nb") / block).cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("nq")).filter((F.col("nb") > 1) | (F.col("nq") > 1))
     j = rows.join(size, cell, "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("nq", F.coalesce("nq", F.lit(1)))
@@ -240,19 +268,24 @@ def similar_pairs(vectors: DataFrame, least: float = 0.8, k: int = K, probes: in
     spark = vectors.sparkSession
     ship(spark)
     groups, members = merge_copies(vectors)
-    models = _models(groups, sample, per_cell, max_cells)
+    models = [(key, *m) for key, m in sorted(_models(groups, sample, per_cell, max_cells).items())]
     coded = groups.select("field", "space", "gid", "vec").mapInPandas(_coded(models, probes), CODE)
-    rows = _blocks(cut(coded), block)
-    found = rows.groupBy("field", "space", "cell", "bb", "qb").applyInPandas(_candidates(least, k), "field string, space string, x long, y long")
+    coded = settle(coded)
+    rows = _blocks(coded, block)
+    found = rows.groupBy("coll", "cell", "bb", "qb").applyInPandas(_candidates(least, k), "coll short, x long, y long")
     found = found.distinct()
-    vec = groups.select("gid", "vec", "rep")
+    vec = groups.select("gid", "vec", "rep")  # the same for both ends, so that it is shuffled once
     near = found.join(vec.select(F.col("gid").alias("x"), F.col("vec").alias("vx"), F.col("rep").alias("rx")), "x")
     near = near.join(vec.select(F.col("gid").alias("y"), F.col("vec").alias("vy"), F.col("rep").alias("ry")), "y")
-    near = near.withColumn("similarity", _cosine(F.col("vx"), F.col("vy"))).filter(F.col("similarity") >= least).select("field", "space", "x", "y", "rx", "ry", "similarity")
+    near = near.withColumn("similarity", _cosine(F.col("vx"), F.col("vy"))).filter(F.col("similarity") >= least)
+    name = [F.get(F.array(*[F.lit(key[k]) for key, *_ in models]).cast("array<string>"), F.col("coll").cast("int")) for k in (0, 1)]
+    near = near.select(name[0].alias("field"), name[1].alias("space"), "x", "y", "rx", "ry", "similarity")
     near = cut(near)
+    members = cut(members)
+    discard(coded)
+    discard(groups)
 
     # The first k + 1 ids of each group of copies; a row number with a small limit is cut before the shuffle.
-    members = cut(members)
     w = Window.partitionBy("field", "space", "gid").orderBy("id")
     first = members.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
     seen = first.select(F.col("gid").alias("g"), F.col("id").alias("other"))
@@ -306,7 +339,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = 20_
             step_q = max(1, 2_000_000 // len(b))
             for lo in range(0, len(q), step_q):
                 part = y[lo : lo + step_q]
-                est, half = estimate(*quantise(part @ turn), codes, scale)
+                est, sigma = estimate(*quantise(part @ turn), codes, scale)
+                half = EPSILON * sigma
                 for i in range(len(part)):
                     me = at.get(qid[lo + i])
                     if me is not None:

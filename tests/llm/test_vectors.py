@@ -40,7 +40,8 @@ def test_estimates_keep_their_bounds(dim):
     turn = v.rotation(dim)
     assert np.allclose(turn @ turn.T, np.eye(dim), atol=1e-4)
     codes, scale = v.encode(x @ turn)
-    est, half = v.estimate(*v.quantise(x @ turn), codes, scale)
+    est, sigma = v.estimate(*v.quantise(x @ turn), codes, scale)
+    half = v.EPSILON * sigma
     true = x @ x.T
     off = ~np.eye(len(x), dtype=bool)
     assert abs((est - true)[off].mean()) < 0.01
@@ -77,6 +78,15 @@ def test_collections_stay_apart_and_empty_input(spark):
     assert v.similar_pairs(df.limit(1)).count() == 0
 
 
+def test_a_third_of_all_vectors_close_together(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 96)).astype(np.float32)
+    x[:300] = rng.standard_normal(96) + 0.1 * rng.standard_normal((300, 96))
+    want = brute([f"n{i:05d}" for i in range(900)], x, 0.8, 10)
+    got = {(r.id_a, r.id_b) for r in v.similar_pairs(frame(spark, x), per_cell=100).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_unusable_vectors(spark):
     from pyspark.sql import functions as F
 
