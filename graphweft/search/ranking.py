@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.scalars import cosine, euclidean
+from graphweft.session import ship
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
@@ -67,6 +68,8 @@ def mmr_order(scores: np.ndarray, vectors: list, lam: float) -> list[int]:
 def mmr(hits: DataFrame, group: str, lam: float = 0.7) -> DataFrame:
     """``hits (group, id, score, vector)`` with ``new_rank`` per group; groups are result lists of limited length."""
 
+    ship(hits.sparkSession)
+
     def rerank(pdf):
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         order = mmr_order(pdf["score"].to_numpy(float), list(pdf["vector"]), lam)

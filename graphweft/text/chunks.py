@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.session import ship
+
 
 def by_chars(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
     """One row per chunk: ``chunk_no, chunk, char_offset, char_length`` beside the other columns; null and empty texts give none."""
@@ -39,6 +41,7 @@ def sentence_chunks(text: str, size: int) -> list[tuple[int, str]]:
 
 
 def by_sentences(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
@@ -78,6 +81,7 @@ def token_chunks(text: str, size: int, overlap: int, count) -> list[str]:
 
 def by_tokens(df: DataFrame, id_col: str, text: str, size: int, overlap: int = 0, count=None) -> DataFrame:
     """Chunks by a token counter (words by default)."""
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
     count = count or (lambda t: len(t.split()))
 
