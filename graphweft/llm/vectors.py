@@ -8,15 +8,17 @@ reaches what is asked for are reranked with the stored vectors.
 
 :func:`similar_pairs` finds the pairs above a similarity among the ten most similar of every vector: exact copies are first merged,
 then vectors are sorted into cells around centroids that are fitted on a bounded sample (``SAMPLE`` vectors a collection); the codes
-of a vector, not the vector, go to its ``PROBES`` nearest cells, and as a query it looks into its nearest one. Cells have some
-hundred vectors whatever the size of the collection; crowded regions get more centroids, and a cell that still grows beyond
-``BLOCK`` rows is cut into blocks.
+of a vector, not the vector, go to its nearest cells, the more of them the more cells there are (:func:`reach`), and as a query it
+looks into its nearest one. Cells around which the vectors lie so close together that their order is finer than the codes are one
+crowd (:func:`crowds`): its vectors themselves are compared, all with all. What grows beyond ``BLOCK`` rows is cut into blocks.
 
 :func:`nearest` gives the ten most similar vectors for a stated set of queries by comparing their codes with all codes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,16 +26,19 @@ from pyspark.sql import functions as F
 
 from graphweft.session import cut, discard, settle, ship, table
 
-#: Vectors per collection on which centroids are fitted; vectors per cell aimed at; most cells of a collection; cells a code goes to.
-SAMPLE, PER_CELL, MAX_CELLS, PROBES = 40_000, 300, 8_192, 4
-#: Rows of a cell that one task compares at once.
-BLOCK = 8_192
+#: Vectors per collection on which centroids are fitted; vectors per cell aimed at; most cells of a collection; cells a code goes to,
+#: for each doubling of the number of cells.
+SAMPLE, PER_CELL, MAX_CELLS, PROBES = 40_000, 1_200, 8_192, 2
+#: Rows of a cell that one task compares at once; in a crowd, CROWD_BLOCKS times as many.
+BLOCK, CROWD_BLOCKS = 8_192, 4
+#: Cells are one crowd if the mean similarity of their vectors is less than this below the similarity asked for; rounding of single precision.
+SLACK, ROUNDING = 0.1, 2e-6
 #: The bounds lie this many standard deviations from the estimate: against the similarity asked for, and against a query's k-th best.
 EPSILON, EPSILON_KTH = 3.0, 1.9
 #: An exact copy is visible to others if it is among this many first ids of its group (k + 1: enough for k neighbours).
 K = 10
 
-CODE = "coll short, gid long, cell int, role byte, code binary"
+CODE = "coll short, cell int, bb int, qb int, role byte, codes binary"
 
 
 def usable(v: Column, dims: Column) -> Column:
@@ -139,64 +144,138 @@ def merge_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, members
 
 
-def _models(groups: DataFrame, sample: int, per_cell: int, max_cells: int) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Rotation and centroids of each collection; what comes to the driver is at most ``sample`` vectors of each, one after the other."""
+def reach(cells: int, probes: int) -> int:
+    """Cells to which a code goes."""
+    return min(cells, max(4, math.ceil(probes * math.log2(max(cells, 1)))))
+
+
+def crowds(sample: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """A number for each cell, equal for the cells of a crowd: those linked by pairs of cells whose vectors, one of each cell, have a
+    mean similarity of ``least`` or hardly less."""
+    near = np.concatenate([(part @ centres.T).argmax(1) for part in np.array_split(sample, max(1, len(sample) // 1024))])
+    mean = np.zeros_like(centres)
+    np.add.at(mean, near, sample)
+    mean /= np.maximum(np.bincount(near, minlength=len(centres)), 1)[:, None]
+    label = np.full(len(centres), -1)
+    for first in range(len(centres)):
+        front = np.array([first]) if label[first] < 0 else np.zeros(0, int)
+        label[front] = first
+        while len(front):
+            free = np.flatnonzero(label < 0)
+            close = np.zeros(len(free), bool)
+            for part in np.array_split(front, -(-len(front) // 512)):
+                close |= (mean[part] @ mean[free].T >= least - SLACK).any(0)
+            front = free[close]
+            label[front] = first
+    return label
+
+
+class _Model:
+    """Rotation and centroids of a collection, the centroids of a crowd side by side; blocks of each cell or crowd."""
+
+    def __init__(self, dim: int, centres: np.ndarray, label: np.ndarray, probes: int):
+        order = np.argsort(label, kind="stable")
+        self.turn, self.centres = rotation(dim), centres[order]
+        self.starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+        self.crowd = np.diff(self.starts, append=len(order)) > 1
+        self.reach = reach(len(self.starts), probes)
+        self.own = (self.centres**2).sum(1)
+        self.nb = self.nq = np.ones(len(self.starts), int)
+
+    def near(self, x: np.ndarray) -> np.ndarray:
+        """The closest cells or crowds of each vector, the closest first."""
+        score = x @ self.centres.T - self.own / 2  # as the centroids are not of one length
+        return _top(np.maximum.reduceat(score, self.starts, axis=1) if self.crowd.any() else score, self.reach)
+
+    def measure(self, sample: np.ndarray, n: int, block: int) -> None:
+        """Blocks of codes and of queries, by the sample's share of each cell."""
+        near = np.concatenate([self.near(part) for part in np.array_split(sample, max(1, len(sample) // 1024))])
+        rows = np.where(self.crowd, CROWD_BLOCKS * block, block) * len(sample) / n
+        self.nb, self.nq = (np.maximum(1, np.ceil(np.bincount(c.ravel(), minlength=len(self.starts)) / rows)).astype(int) for c in (near, near[:, 0]))
+
+
+def _models(groups: DataFrame, least: float, probes: int, sample: int, per_cell: int, max_cells: int, block: int) -> dict[tuple, _Model]:
+    """The model of each collection; what comes to the driver is at most ``sample`` vectors of each, one after the other."""
     counts = {(r["field"], r["space"]): (r["n"], r["d"]) for r in groups.groupBy("field", "space").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).collect()}
     out = {}
     for (field, space), (n, d) in counts.items():
         cells = int(min(max_cells, max(1, n // per_cell)))
         if cells == 1:
-            out[field, space] = rotation(d), np.zeros((1, d), np.float32)
+            out[field, space] = _Model(d, np.zeros((1, d), np.float32), np.zeros(1, int), probes)
             continue
         share = min(1.0, sample / n)
         mine = groups.filter((F.col("field") == field) & (F.col("space") == space) & (F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)))
         vecs = mine.select("vec").limit(sample).toArrow().column("vec").combine_chunks()
         x = vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
         x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        out[field, space] = rotation(d), fit(x, min(cells, len(x)))
+        centres = fit(x, min(cells, len(x)))
+        out[field, space] = m = _Model(d, centres, crowds(x, centres, least), probes)
+        m.measure(x, n, block)
     return out
 
 
-def _packed(words: np.ndarray, *scalars: np.ndarray) -> list[bytes]:
-    """One byte string per row: its scalars (float32), then its words."""
-    head = np.stack(scalars, 1).astype(np.float32).view(np.uint8)
-    return [bytes(r) for r in np.concatenate([head, words.reshape(len(words), -1).view(np.uint8)], 1)]
+def _packed(gid: np.ndarray, rest: np.ndarray, *scalars: np.ndarray) -> np.ndarray:
+    """A row of bytes for each vector: its gid, its scalars (float32), the rest (code or vector)."""
+    head = [np.ascontiguousarray(gid, np.int64)[:, None].view(np.uint8), *(np.ascontiguousarray(c, np.float32)[:, None].view(np.uint8) for c in scalars)]
+    return np.concatenate([*head, np.ascontiguousarray(rest.reshape(len(gid), -1)).view(np.uint8)], 1)
 
 
-def _unpacked(rows, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words (uint64) and the ``n`` scalars of packed rows."""
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    scalars = np.ascontiguousarray(raw[:, : 4 * n]).view(np.float32)
-    return np.ascontiguousarray(raw[:, 4 * n :]).view(np.uint64), list(scalars.T)
+def _unpacked(rows, width: int, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Gids, what follows the scalars (bytes) and the ``n`` scalars of packed rows of ``width`` bytes."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+    at = 8 + 4 * n
+    scalars = np.ascontiguousarray(raw[:, 8:at]).view(np.float32)
+    return np.ascontiguousarray(raw[:, :8]).view(np.int64)[:, 0], np.ascontiguousarray(raw[:, at:]), list(scalars.T)
 
 
-def _coded(models: list, probes: int):
-    """Rows for the cells. Role 0, in the nearest ``probes`` cells: code, cosine of the code, length from the centroid, product with the
-    centroid. Role 1, in the nearest: bit planes as a query, their lower end and step, length from and product with the centroid."""
+def _coded(models: list):
+    """Rows for the cells, those of one cell and block packed together. Role 0, in the nearest cells: code, cosine of the code, length
+    from the centroid, product with the centroid. Role 1, in the nearest: bit planes as a query, their lower end and step, length from
+    and product with the centroid. Roles 2 and 3, the same in a crowd: the unit vector."""
 
     def rows(batches):
-        at = {key: k for k, (key, *_) in enumerate(models)}
-        cols = ["coll", "gid", "cell", "role", "code"]
+        at = {key: k for k, (key, _) in enumerate(models)}
         for batch in batches:
             for key, g in batch.groupby(["field", "space"], sort=False):
-                _, turn, centres = models[at[key]]
-                turned_centres, own = centres @ turn, (centres**2).sum(1)
+                m = models[at[key]][1]
+                parts: dict[tuple, list[np.ndarray]] = {}
+
+                def put(cells, role, gid, packed):
+                    """Each row to its cells: to its own block there, and to all blocks of the other role."""
+                    mine, others = (m.nb, m.nq) if role in (0, 2) else (m.nq, m.nb)
+                    block = ((gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % mine[cells]
+                    key = cells.astype(np.int64) * (int(mine.max()) + 1) + block
+                    order = np.argsort(key, kind="stable")
+                    for i in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                        c, b = int(cells[i[0]]), int(block[i[0]])
+                        for o in range(int(others[c])):
+                            parts.setdefault((c, *((b, o) if role in (0, 2) else (o, b)), role), []).append(packed[i])
+
                 for lo in range(0, len(g), 1024):
                     s = g.iloc[lo : lo + 1024]
-                    x = _matrix(s["vec"])
-                    t, near_all = x @ turn, x @ centres.T
-                    p = min(probes, len(centres))
-                    near = _top(near_all - own / 2, p)  # the closest centroids, as they are not of one length
-                    gid = s["gid"].to_numpy()
-                    for k in range(p):
-                        r = t - turned_centres[near[:, k]]
-                        codes, scale = encode(r)
-                        length = np.linalg.norm(r, axis=1)
-                        product = np.take_along_axis(near_all, near[:, k : k + 1], 1)[:, 0]
-                        yield pd.DataFrame({"coll": at[key], "gid": gid, "cell": near[:, k], "role": 0, "code": _packed(codes, scale, length, product)})[cols]
-                        if k == 0:
-                            planes, low, step = quantise(r)
-                            yield pd.DataFrame({"coll": at[key], "gid": gid, "cell": near[:, 0], "role": 1, "code": _packed(planes, low, step, product - own[near[:, 0]], length)})[cols]
+                    x, gid = _matrix(s["vec"]), s["gid"].to_numpy()
+                    t, near = x @ m.turn, m.near(x)
+                    for k in range(near.shape[1]):
+                        in_crowd = m.crowd[near[:, k]]
+                        i = np.flatnonzero(~in_crowd)
+                        if len(i):
+                            cells = near[i, k]
+                            centre = m.centres[m.starts[cells]]
+                            r = t[i] - centre @ m.turn
+                            codes, scale = encode(r)
+                            length, product = np.linalg.norm(r, axis=1), (x[i] * centre).sum(1)
+                            put(cells, 0, gid[i], _packed(gid[i], codes, scale, length, product))
+                            if k == 0:
+                                planes, low, step = quantise(r)
+                                put(cells, 1, gid[i], _packed(gid[i], planes, low, step, product - m.own[m.starts[cells]], length))
+                        i = np.flatnonzero(in_crowd)
+                        if len(i):
+                            whole = _packed(gid[i], x[i])
+                            put(near[i, k], 2, gid[i], whole)
+                            if k == 0:
+                                put(near[i, k], 3, gid[i], whole)
+                keys = list(parts)
+                yield pd.DataFrame({"coll": at[key], **{n: [q[j] for q in keys] for j, n in enumerate(("cell", "bb", "qb", "role"))}, "codes": [np.concatenate(parts[q]).tobytes() for q in keys]})[["coll", "cell", "bb", "qb", "role", "codes"]]
 
     return rows
 
@@ -207,32 +286,64 @@ def _top(score: np.ndarray, p: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(score, part, 1), axis=1, kind="stable"), 1)
 
 
-def _candidates(least: float, k: int):
-    """Pairs of a cell whose upper bound reaches ``least`` and the k-th best lower bound of the query."""
+def _estimated(base, query, size: int, least: float, k: int):
+    """Yields (query gids, code gids) of pairs whose upper bound reaches ``least`` and the k-th best lower bound of the query."""
+    bid, codes, (scale, length, with_centre) = _unpacked(base, 20 + size // 8, 3)
+    qid, planes, (low, step, own, away) = _unpacked(query, 24 + size // 2, 4)
+    bits = np.unpackbits(planes.reshape(-1, size // 8), axis=1, bitorder="little").reshape(len(qid), 4, size)
+    turned = low[:, None] + step[:, None] * sum(np.float32(1 << j) * bits[:, j] for j in range(4))
+    sigma = np.sqrt(np.maximum(1 - scale**2, 0)) / scale / np.float32(np.sqrt(size - 1)) * length
+    signs = np.unpackbits(codes, axis=1, bitorder="little").astype(np.float32) * 2 - 1
+    # The upper bound as one product: the estimate, the products with the centroid, and the error of both.
+    right = np.concatenate([signs * (length / np.float32(np.sqrt(size)) / scale)[:, None], with_centre[:, None], np.ones((len(bid), 1), np.float32), sigma[:, None]], 1).T.copy()
+    left = np.concatenate([turned, np.ones((len(qid), 1), np.float32), own[:, None], np.float32(EPSILON) * away[:, None]], 1)
+    block = max(1, 2_000_000 // len(bid))
+    for lo in range(0, len(qid), block):
+        upper = left[lo : lo + block] @ right
+        i, j = np.nonzero(upper >= least)
+        error, upper = away[lo + i] * sigma[j], upper[i, j]
+        other = qid[lo + i] != bid[j]
+        i, j, error, upper = i[other], j[other], error[other], upper[other]
+        lower = upper - np.float32(EPSILON + EPSILON_KTH) * error
+        order = np.lexsort((-lower, i))
+        first = np.searchsorted(i, np.arange(len(left[lo : lo + block])))
+        many = np.flatnonzero(np.bincount(i, minlength=len(first)) > k)
+        kth = np.full(len(first), -9, np.float32)
+        kth[many] = lower[order[first[many] + k - 1]]
+        want = upper - np.float32(EPSILON - EPSILON_KTH) * error >= kth[i]
+        yield qid[lo + i[want]], bid[j[want]]
+
+
+def _crowded(base, query, dim: int, least: float, k: int):
+    """Yields (query gids, gids) of the k most similar of each query, and those as similar but for rounding."""
+    bid, vecs, _ = _unpacked(base, 8 + 4 * dim, 0)
+    qid, asked, _ = _unpacked(query, 8 + 4 * dim, 0)
+    right, left = vecs.view(np.float32).T.copy(), asked.view(np.float32)
+    order = np.argsort(bid)
+    me = order[np.minimum(np.searchsorted(bid[order], qid), len(bid) - 1)]
+    block = max(1, 2_000_000 // len(bid))
+    for lo in range(0, len(qid), block):
+        sims = left[lo : lo + block] @ right
+        own = np.flatnonzero(bid[me[lo : lo + block]] == qid[lo : lo + block])
+        sims[own, me[lo + own]] = -9
+        bound = np.full(len(sims), least, np.float32)
+        if len(bid) > k:
+            bound = np.maximum(bound, np.partition(sims, -k, axis=1)[:, -k])
+        i, j = np.nonzero(sims >= bound[:, None] - np.float32(ROUNDING))
+        yield qid[lo + i], bid[j]
+
+
+def _candidates(dims: list[int], least: float, k: int):
+    """Pairs of a cell or crowd that may reach ``least`` and be among the ``k`` best of the query."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, query = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        out = []
-        if len(base) and len(query):
-            codes, (scale, length, with_centre) = _unpacked(base["code"], 3)
-            planes, (low, step, own, away) = _unpacked(query["code"], 4)
-            planes = planes.reshape(len(query), 4, -1)
-            bid, qid = base["gid"].to_numpy(), query["gid"].to_numpy()
-            block = max(1, 1_000_000 // len(base))
-            for lo in range(0, len(query), block):
-                s = slice(lo, lo + block)
-                est, sigma = estimate(planes[s], low[s], step[s], codes, scale)
-                est *= length[None]
-                est += with_centre[None] + own[s][:, None]
-                sigma = (sigma * length)[None] * away[s][:, None]
-                est[qid[s][:, None] == bid[None]] = -9
-                want = est + EPSILON * sigma >= least
-                if len(base) > k:
-                    kth = -np.partition(EPSILON_KTH * sigma - est, k - 1, axis=1)[:, k - 1]
-                    want &= est + EPSILON_KTH * sigma >= kth[:, None]
-                i, j = np.nonzero(want & (est > -8))
-                out.append(np.stack([qid[s][i], bid[j]], 1))
-        m = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        role, codes, dim = pdf["role"], pdf["codes"], dims[pdf["coll"].iloc[0]]
+        found = []
+        if (role == 0).any() and (role == 1).any():
+            found += _estimated(codes[role == 0], codes[role == 1], -(-dim // 64) * 64, least, k)
+        if (role == 2).any() and (role == 3).any():
+            found += _crowded(codes[role == 2], codes[role == 3], dim, least, k)
+        m = np.concatenate([np.stack(p, 1) for p in found]) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"coll": pdf["coll"].iloc[0], "x": m.min(1, initial=2**63 - 1), "y": m.max(1, initial=-(2**63))})
 
     return pairs
@@ -245,19 +356,6 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Adds ``bb`` and ``qb``: a cell's codes and queries are cut into blocks of about ``block`` rows, and every block of codes meets
-    every block of queries. The row counts per cell are few: at most MAX_CELLS a collection."""
-    cell = ["coll", "cell"]
-    size = rows.groupBy(*cell).agg(F.sum((F.col("role") == 0).cast("int")).alias("nb"), F.sum((F.col("role") == 1).cast("int")).alias("nq"))
-    size = size.select(*cell, F.ceil(F.col("nb") / block).cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("nq")).filter((F.col("nb") > 1) | (F.col("nq") > 1))
-    j = rows.join(size, cell, "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("nq", F.coalesce("nq", F.lit(1)))
-    own_b, own_q = F.pmod(F.xxhash64("gid"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("gid"), F.col("nq")).cast("int")
-    first = F.when(F.col("role") == 0, F.array(own_b)).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-    second = F.when(F.col("role") == 1, F.array(own_q)).otherwise(F.sequence(F.lit(0), F.col("nq") - 1))
-    return j.withColumn("bb", F.explode(first)).withColumn("qb", F.explode(second)).drop("nb", "nq")
-
-
 def similar_pairs(vectors: DataFrame, least: float = 0.8, k: int = K, probes: int = PROBES, sample: int = SAMPLE, per_cell: int = PER_CELL, max_cells: int = MAX_CELLS, block: int = BLOCK) -> DataFrame:
     """Unordered pairs ``field, space, id_a, id_b, similarity`` with cosine >= ``least`` of which one is among the ``k`` nearest of the other.
 
@@ -268,11 +366,9 @@ def similar_pairs(vectors: DataFrame, least: float = 0.8, k: int = K, probes: in
     spark = vectors.sparkSession
     ship(spark)
     groups, members = merge_copies(vectors)
-    models = [(key, *m) for key, m in sorted(_models(groups, sample, per_cell, max_cells).items())]
-    coded = groups.select("field", "space", "gid", "vec").mapInPandas(_coded(models, probes), CODE)
-    coded = settle(coded)
-    rows = _blocks(coded, block)
-    found = rows.groupBy("coll", "cell", "bb", "qb").applyInPandas(_candidates(least, k), "coll short, x long, y long")
+    models = sorted(_models(groups, least, probes, sample, per_cell, max_cells, block).items())
+    rows = groups.select("field", "space", "gid", "vec").mapInPandas(_coded(models), CODE)
+    found = rows.groupBy("coll", "cell", "bb", "qb").applyInPandas(_candidates([len(m.turn) for _, m in models], least, k), "coll short, x long, y long")
     found = found.distinct()
     vec = groups.select("gid", "vec", "rep")  # the same for both ends, so that it is shuffled once
     near = found.join(vec.select(F.col("gid").alias("x"), F.col("vec").alias("vx"), F.col("rep").alias("rx")), "x")
@@ -282,7 +378,6 @@ def similar_pairs(vectors: DataFrame, least: float = 0.8, k: int = K, probes: in
     near = near.select(name[0].alias("field"), name[1].alias("space"), "x", "y", "rx", "ry", "similarity")
     near = cut(near)
     members = cut(members)
-    discard(coded)
     discard(groups)
 
     # The first k + 1 ids of each group of copies; a row number with a small limit is cut before the shuffle.

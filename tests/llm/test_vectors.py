@@ -118,3 +118,30 @@ def test_recall_on_the_tables(spark, sf):
     for (f, s), g in pdf.groupby(["field", "space"]):
         want |= {(f, s, *p) for p in brute(list(g["id"]), np.array(list(g["vec"])), 0.8, 10)}
     assert len(found & want) >= 0.9 * len(want) and not found - want
+
+
+def recall(spark, x, **kw):
+    """Of the true pairs, by similarities in double precision."""
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(min(i, j), max(i, j)) for i, row in enumerate(s) for j in np.argpartition(-row, 10)[:10] if row[j] >= 0.8}
+    got = {(int(r.id_a[1:]), int(r.id_b[1:])) for r in v.similar_pairs(frame(spark, x), **kw).collect()}
+    assert not got - want
+    return len(got & want) / len(want)
+
+
+@pytest.mark.parametrize(("n", "kw"), [(600, {}), (1500, {}), (1500, {"block": 100})])
+def test_near_copies_in_many_cells_are_compared_with_each_other(spark, n, kw):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3 * n, 96)).astype(np.float32)
+    x[:n] = rng.standard_normal(96) + 0.1 * rng.standard_normal((n, 96))
+    assert recall(spark, x, per_cell=50, **kw) >= 0.999
+
+
+def test_recall_does_not_fall_with_the_number_of_cells(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((6000, 96)).astype(np.float32)
+    x[3000:] = x[:3000] + 0.68 * rng.standard_normal((3000, 96))
+    for per_cell in (600, 100, 30):
+        assert recall(spark, x, per_cell=per_cell) >= 0.97
