@@ -46,6 +46,6 @@ def store(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     e = table(spark, sf_dir, "edges").filter(F.col("edge_type").isNotNull()).select("id", "start_node", "end_node", "edge_type", "created_at_unix_ms").dropDuplicates(["id"])
     g = GraphCatalog(spark, unique_ids=True)
     g.add_nodes("Node", n, "id")
-    for t in ("MENTIONS", "KNOWS", "DEPENDS_ON", "RELATES_TO", "CONTAINS", "FOLLOWS"):
+    for t in sorted(r["edge_type"] for r in e.select("edge_type").distinct().collect()):
         g.add_rels(t, e.filter(F.col("edge_type") == t), "start_node", "end_node", id="id", trusted=False)
     return g
