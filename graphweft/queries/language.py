@@ -186,7 +186,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT event_id AS k, event_type || '-' || user_id AS j, [1, 2] AS s, [1, 2, 3] AS f, 'FLOAT' AS t, event_type AS c, nullif(event_type, 'click') AS n, 'x' AS m FROM events",
     ),
     "cypher_vector_functions": (
-        "MATCH (a:Vector {vec_id: 1}), (b:Vector) WHERE b.vec_id < 50 RETURN b.vec_id AS k, vector.similarity.cosine(a.embedding, b.embedding) AS c, vector.similarity.euclidean(a.embedding, b.embedding) AS e",
+        "MATCH (a:Vector {vec_id: 1}), (b:Vector) RETURN b.vec_id AS k, vector.similarity.cosine(a.embedding, b.embedding) AS c, vector.similarity.euclidean(a.embedding, b.embedding) AS e",
         "SELECT b.vec_id AS k, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS c, round(1 / (1 + list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS e FROM embeddings a, embeddings b WHERE a.vec_id = 1 AND b.vec_id < 50",
     ),
     "cypher_all_nodes": (

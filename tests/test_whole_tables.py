@@ -16,3 +16,8 @@ def test_link_prediction_uses_edges_of_every_type(spark, sf):
     known = e.join(n.withColumnRenamed("id", "start_node"), "start_node", "left_semi").join(n.withColumnRenamed("id", "end_node"), "end_node", "left_semi")
     want = known.filter("start_node <> end_node").select(F.least("start_node", "end_node"), F.greatest("start_node", "end_node")).distinct().count()
     assert engine._graph(spark, sf)[0].count() == 2 * want
+
+
+def test_vector_functions_score_every_vector(spark, sf):
+    got = language.queries()["cypher_vector_functions"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
