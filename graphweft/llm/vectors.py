@@ -1,7 +1,8 @@
 """Most similar vectors by randomly rotated one-bit codes.
 
 Each unit vector is padded to a multiple of 64 dimensions and turned by a random rotation that depends on the dimension only; its code is
-the signs of what lies between it and the centroid of its cell, 16 bytes for 96 or 128 dimensions, with three correction scalars.
+the signs of what lies between it and the centroid of its cell, 16 bytes for 96 or 128 dimensions, with three correction scalars; in
+:func:`similar_pairs` a second bit for each dimension tells large values from small ones.
 Against a query that is quantised to four bits per dimension the inner product is estimated from counts of common bits; the error of
 the estimate is bounded with the scalars (the closer both are to the centroid, the tighter), and only vectors whose upper bound
 reaches what is asked for are reranked with the stored vectors.
@@ -33,6 +34,8 @@ SAMPLE, PER_CELL, MAX_CELLS, PROBES = 40_000, 1_200, 8_192, 2
 BLOCK, CROWD_BLOCKS = 8_192, 4
 #: Cells are one crowd if the mean similarity of their vectors is less than this below the similarity asked for; rounding of single precision.
 SLACK, ROUNDING = 0.1, 2e-6
+#: Best levels of two bits for normally distributed values, and where the larger one begins.
+LEVELS, LARGE = (0.4528, 1.51), 0.9816
 #: The bounds lie this many standard deviations from the estimate: against the similarity asked for, and against a query's k-th best.
 EPSILON, EPSILON_KTH = 3.0, 1.9
 #: An exact copy is visible to others if it is among this many first ids of its group (k + 1: enough for k neighbours).
@@ -87,6 +90,22 @@ def encode(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.maximum(np.abs(turned).sum(1) / size / np.sqrt(turned.shape[1]), 1e-3).astype(np.float32)
 
 
+def encode_finer(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits a dimension, the signs and which values are large, by row; the cosine as in :func:`encode`."""
+    size = np.maximum(np.linalg.norm(turned, axis=1), 1e-12)
+    large = np.abs(turned) > LARGE * size[:, None] / np.sqrt(turned.shape[1])
+    level = np.where(large, LEVELS[1], LEVELS[0])
+    bits = np.concatenate([np.packbits(b, axis=1, bitorder="little") for b in (turned > 0, large)], 1)
+    return bits, np.maximum((np.abs(turned) * level).sum(1) / size / np.sqrt((level**2).sum(1)), 1e-3).astype(np.float32)
+
+
+def decode_finer(codes: np.ndarray, size: int) -> np.ndarray:
+    """The vectors of length 1 for which the codes of :func:`encode_finer` stand."""
+    bits = np.unpackbits(codes.reshape(-1, size // 8), axis=1, bitorder="little").reshape(len(codes), 2, size)
+    out = (bits[:, 0].astype(np.float32) * 2 - 1) * np.where(bits[:, 1] > 0, np.float32(LEVELS[1]), np.float32(LEVELS[0]))
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Four bit planes (n, 4, words), lower end and step of each query."""
     low = turned.min(1, keepdims=True)
@@ -262,7 +281,7 @@ def _coded(models: list):
                             cells = near[i, k]
                             centre = m.centres[m.starts[cells]]
                             r = t[i] - centre @ m.turn
-                            codes, scale = encode(r)
+                            codes, scale = encode_finer(r)
                             length, product = np.linalg.norm(r, axis=1), (x[i] * centre).sum(1)
                             put(cells, 0, gid[i], _packed(gid[i], codes, scale, length, product))
                             if k == 0:
@@ -288,14 +307,13 @@ def _top(score: np.ndarray, p: int) -> np.ndarray:
 
 def _estimated(base, query, size: int, least: float, k: int):
     """Yields (query gids, code gids) of pairs whose upper bound reaches ``least`` and the k-th best lower bound of the query."""
-    bid, codes, (scale, length, with_centre) = _unpacked(base, 20 + size // 8, 3)
+    bid, codes, (scale, length, with_centre) = _unpacked(base, 20 + size // 4, 3)
     qid, planes, (low, step, own, away) = _unpacked(query, 24 + size // 2, 4)
     bits = np.unpackbits(planes.reshape(-1, size // 8), axis=1, bitorder="little").reshape(len(qid), 4, size)
     turned = low[:, None] + step[:, None] * sum(np.float32(1 << j) * bits[:, j] for j in range(4))
     sigma = np.sqrt(np.maximum(1 - scale**2, 0)) / scale / np.float32(np.sqrt(size - 1)) * length
-    signs = np.unpackbits(codes, axis=1, bitorder="little").astype(np.float32) * 2 - 1
     # The upper bound as one product: the estimate, the products with the centroid, and the error of both.
-    right = np.concatenate([signs * (length / np.float32(np.sqrt(size)) / scale)[:, None], with_centre[:, None], np.ones((len(bid), 1), np.float32), sigma[:, None]], 1).T.copy()
+    right = np.concatenate([decode_finer(codes, size) * (length / scale)[:, None], with_centre[:, None], np.ones((len(bid), 1), np.float32), sigma[:, None]], 1).T.copy()
     left = np.concatenate([turned, np.ones((len(qid), 1), np.float32), own[:, None], np.float32(EPSILON) * away[:, None]], 1)
     block = max(1, 2_000_000 // len(bid))
     for lo in range(0, len(qid), block):
