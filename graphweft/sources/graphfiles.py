@@ -212,7 +212,12 @@ def import_json(spark: SparkSession, path: str) -> GraphCatalog:
         mine = nodes.filter(F.array_sort("labels").eqNullSafe(F.array(*map(F.lit, r["l"])).cast("array<string>")))
         cat.add_nodes(tuple(r["l"]), mine.select(F.col("id").cast("string").alias("_id"), "properties.*"))
     rels = df.select(F.explode("relationships").alias("r")).select("r.*")
-    for r in rels.select("type").distinct().limit(1000).collect():
+    types = rels.select("type").distinct().limit(1001).collect()
+    if len(types) > 1000:
+        raise ValueError("more than 1,000 relationship types")
+    if any(r["type"] is None for r in types):
+        raise ValueError("a relationship without type")
+    for r in types:
         mine = rels.filter(F.col("type") == r["type"])
         props = ["properties.*"] if "properties" in mine.columns and mine.schema["properties"].dataType.typeName() == "struct" else []
         cat.add_rels(r["type"], mine.select(F.col("id").cast("string").alias("_rid"), F.col("startNode").cast("string").alias("_src"), F.col("endNode").cast("string").alias("_dst"), *props), id="_rid")
