@@ -212,7 +212,7 @@ def link_topology(spark, sf):
     return t.select("source", "target", "common_neighbors", *[F.round(c, 8).alias(c) for c in ("jaccard", "adamic_adar", "resource_allocation")], "preferential_attachment")
 
 
-_LINKS = """WITH n AS (SELECT DISTINCT id FROM nodes), e AS (SELECT start_node AS a, end_node AS b FROM edges WHERE edge_type = 'MENTIONS' AND start_node <> end_node AND start_node IN (SELECT id FROM n) AND end_node IN (SELECT id FROM n)),
+_LINKS = """WITH n AS (SELECT DISTINCT id FROM nodes), e AS (SELECT start_node AS a, end_node AS b FROM edges WHERE start_node <> end_node AND start_node IN (SELECT id FROM n) AND end_node IN (SELECT id FROM n)),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d AS (SELECT a AS id, count(*) AS d FROM g GROUP BY 1), q AS (SELECT id FROM n WHERE TRY_CAST(regexp_extract(id, 'node-([0-9]+)', 1) AS BIGINT) % 100 = 0),
 t AS (SELECT x.a AS source, y.b AS target, count(*) AS c, coalesce(sum(CASE WHEN d > 1 THEN 1 / ln(d) END), 0) AS aa, sum(1 / d) AS ra FROM g x JOIN q ON q.id = x.a JOIN g y ON x.b = y.a JOIN d ON d.id = x.b WHERE x.a <> y.b GROUP BY 1, 2)"""
 _TOPOLOGY = _LINKS + """ SELECT source, target, CAST(c AS DOUBLE) AS common_neighbors, round(c / (s.d + u.d - c), 8) AS jaccard, round(aa, 8) AS adamic_adar, round(ra, 8) AS resource_allocation, CAST(s.d * u.d AS DOUBLE) AS preferential_attachment

@@ -37,12 +37,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a local one is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a local one is set.
+
+    On a cluster a folder of the driver's machine would be another one on each executor, so there the setting is required.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return folder or current.get()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = folder or tempfile.mkdtemp(prefix="graphweft-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
