@@ -1,27 +1,32 @@
 """Evaluation items that stand in the corpus, whole, in part or edited.
 
-The items' runs of ``SEED`` words are the seeds; a seed that stands in more than ``RARE`` items is common wording and opens no match by
-itself. The seed table goes to the workers and each document is read once: it is joined to the items by the seeds it holds, and every
-stretch with a rare seed and at least ``HITS`` seeds of one item is aligned with that item by Smith-Waterman (match 1, other word,
-missing or additional word -2). A document holds an item if at least ``LEAST_WORDS`` words match and the score is at least
-``LEAST_SCORE``. An alignment with that score and up to six exchanged words holds at least four seeds, so the seeds lose none of these.
+Items with the same words are one text. A text's runs of ``SEED`` words are its seeds. A seed opens a match if it is rare, standing in at
+most ``RARE`` texts, or, in a part of ``WINDOW`` successive seeds (a passage of the shortest length) without a rare one, if it is among the rarest
+of that part: so every passage can be found, however many texts share its wording. How many texts a seed stands in is counted once over
+all items. Each document is read once per pass over the items: its seeds are joined with those that open a match, and every stretch of
+at least ``HITS`` seeds of one text, one of which opens a match, is aligned with that text by Smith-Waterman (match 1, other word, missing or additional
+word -2). A document holds an item if at least ``LEAST_WORDS`` words match and the score is at least ``LEAST_SCORE``. Short passages with exchanged
+words score less, as does wording that is merely similar; of those only names and numbers differ. So the score need only be
+``LEAST_SCORE_SPECIFIC`` if the passage spans ``LEAST_WORDS`` words of the text and all of these that stand in at most ``RARE`` texts match. Of a
+text of fewer words all must stand there in order. An alignment with these scores and up to six exchanged words holds at least four seeds
+unless every run is shorter than a seed. Texts of fewer than ``SEED`` words are no passages.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.words import words
-from graphweft.session import ship, spread, table
+from graphweft.session import checked_broadcast, cut, ship, spread, table
 
-SEED, RARE, HITS, LEAST_WORDS, LEAST_SCORE, PENALTY = 4, 5, 4, 15, 13, 2
-#: Items whose seeds are held in memory at once; more items take more passes over the corpus.
-ITEMS_PER_PASS = 20_000
+SEED, RARE, HITS, LEAST_WORDS, LEAST_SCORE, LEAST_SCORE_SPECIFIC, PENALTY = 4, 5, 4, 15, 13, 11, 2
+#: Seeds of a passage of LEAST_WORDS words.
+WINDOW = LEAST_WORDS - SEED + 1
+#: Words of item texts that are held in memory at once (about 40 bytes each); more take more passes over the corpus.
+WORDS_PER_PASS = 2_000_000
 #: Seeds further apart than this many words belong to different stretches; a stretch is aligned with so much text around it.
 STRETCH, AROUND = 40, 34
 
@@ -31,17 +36,8 @@ def runs(ws: list[str], n: int = SEED):
     return zip(*[ws[k:] for k in range(n)])
 
 
-def seed_table(items: dict[int, list[str]], n: int = SEED) -> tuple[dict, set]:
-    """``seed -> items`` and the seeds that stand in at most ``RARE`` items."""
-    where: dict[tuple, set] = defaultdict(set)
-    for item, ws in items.items():
-        for seed in runs(ws, n):
-            where[seed].add(item)
-    return {s: tuple(sorted(v)) for s, v in where.items()}, {s for s, v in where.items() if len(v) <= RARE}
-
-
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman on word ids: score, matching words, first and last word of the document (end exclusive) of the best alignment."""
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, list[int], tuple[int, int], tuple[int, int]]:
+    """Smith-Waterman on word ids: score, matching words of the item, and the span (end exclusive) in item and document of the best alignment."""
     n, m = len(item), len(doc)
     h = np.zeros((n + 1, m + 1), np.int32)
     slope = PENALTY * np.arange(m + 1)
@@ -51,82 +47,155 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
         np.maximum(row, 0, out=row)
         h[i] = np.maximum.accumulate(row + slope) - slope  # additional words of the document
     i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end, matched = int(h[i, j]), int(j), 0
+    score, to, end, matched = int(h[i, j]), int(i), int(j), []
     while i > 0 and j > 0 and h[i, j] > 0:
         same = item[i - 1] == doc[j - 1]
         if h[i, j] == h[i - 1, j - 1] + (1 if same else -PENALTY):
-            matched += int(same)
             i, j = i - 1, j - 1
+            if same:
+                matched.append(int(i))
         elif h[i, j] == h[i - 1, j] - PENALTY:
             i -= 1
         else:
             j -= 1
-    return score, matched, int(j), end
-
-
-def stretches(ws: list[str], seeds: dict, rare: set, n: int = SEED) -> list[tuple[int, int, int]]:
-    """``(item, first, last)``: seed positions of each stretch of the document that may hold an item."""
-    hits: dict[int, list[tuple[int, bool]]] = defaultdict(list)
-    any_rare = False
-    for k, s in enumerate(runs(ws, n)):
-        if s in seeds:
-            r = s in rare
-            any_rare |= r
-            for item in seeds[s]:
-                hits[item].append((k, r))
-    out = []
-    if any_rare:
-        for item, at in hits.items():
-            lo = 0
-            for t in range(1, len(at) + 1):
-                if t == len(at) or at[t][0] - at[t - 1][0] > STRETCH:
-                    part = at[lo:t]
-                    if len(part) >= HITS and any(r for _, r in part):
-                        out.append((item, part[0][0], part[-1][0]))
-                    lo = t
-    return out
-
-
-def leaks_in(text: str, items: dict[int, np.ndarray], seeds: dict, rare: set, ids: dict) -> list[tuple[int, int, int, str]]:
-    """``(item, matched words, score, passage)`` for every item that stands in the text; the best stretch of each."""
-    ws = words(text)
-    best: dict[int, tuple[int, int, str]] = {}
-    for item, first, last in stretches(ws, seeds, rare):
-        lo, hi = max(0, first - AROUND), min(len(ws), last + SEED + AROUND)
-        score, matched, a, b = align(items[item], np.fromiter((ids.get(w, -1) for w in ws[lo:hi]), np.int64, hi - lo))
-        if matched >= LEAST_WORDS and score >= LEAST_SCORE and (item not in best or best[item][1] < score):
-            best[item] = (matched, score, " ".join(ws[lo + a : lo + b]))
-    return [(item, *v) for item, v in sorted(best.items())]
-
-
-def leaks(docs: DataFrame, items: DataFrame, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    return score, matched, (int(i), to), (int(j), end)
+
+
+def seed_codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each run of ``SEED`` word ids, and whether all its words are known (not -1)."""
+    if len(ids) < SEED:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    code, known = np.zeros(len(ids) - SEED + 1, np.uint64), np.ones(len(ids) - SEED + 1, bool)
+    for k in range(SEED):
+        part = ids[k : len(ids) - SEED + 1 + k]
+        code = (code ^ (part.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+        known &= part >= 0
+    return code, known
+
+
+class ItemTexts:
+    """Some item texts in memory: their words as numbers, and the seeds that open a match with the texts they stand in."""
+
+    def __init__(self, rows: list[tuple[int, list[str], list[int], list[int]]]):
+        """``rows``: number of the text, its words, the positions of the seeds that open a match and of the words that stand in few texts."""
+        self.ids: dict[str, int] = {}
+        for r in rows:
+            for w in r[1]:
+                self.ids.setdefault(w, len(self.ids))
+        self.names = [r[0] for r in rows]
+        self.coded = [np.array([self.ids[w] for w in r[1]], np.int32) for r in rows]
+        self.specific = [frozenset(r[3]) for r in rows]
+        codes = [seed_codes(c)[0] for c in self.coded]
+        self.seeds = [np.unique(c) for c in codes]
+        opening = [np.unique(c[np.asarray(at, np.int64)]) if len(at) else c[:0] for c, (_, _, at, _) in zip(codes, rows)]
+        flat = np.concatenate([*opening, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.codes, self.first = np.unique(flat[order], return_index=True)
+        self.last = np.append(self.first[1:], len(flat)).astype(np.int64)
+        self.texts = np.repeat(np.arange(len(rows)), [len(o) for o in opening])[order]
+
+    def stretches(self, codes: np.ndarray, known: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(text, first, last)``: seed positions of each stretch of a document that may hold a text."""
+        at = np.flatnonzero(known)
+        if not len(at) or not len(self.codes):
+            return []
+        k = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+        hit = self.codes[k] == codes[at]
+        opens: dict[int, list[int]] = {}
+        for p, i in zip(at[hit].tolist(), k[hit].tolist()):
+            for t in self.texts[self.first[i] : self.last[i]].tolist():
+                opens.setdefault(t, []).append(p)
+        out = []
+        for t, opened in opens.items():
+            own = self.seeds[t]
+            mine = at[own[np.minimum(np.searchsorted(own, codes[at]), len(own) - 1)] == codes[at]]
+            ends = np.flatnonzero(np.diff(mine) > STRETCH) + 1
+            for part in np.split(mine, ends):
+                if len(part) >= min(HITS, len(self.coded[t]) - SEED + 1) and any(part[0] <= p <= part[-1] for p in opened):
+                    out.append((t, int(part[0]), int(part[-1])))
+        return out
+
+    def held(self, t: int, score: int, matched: list[int], span: tuple[int, int]) -> bool:
+        """Whether an alignment with a text is a passage of it."""
+        n = len(self.coded[t])
+        if n < LEAST_WORDS:
+            return score == n
+        if len(matched) >= LEAST_WORDS and score >= LEAST_SCORE:
+            return True
+        if score < LEAST_SCORE_SPECIFIC or span[1] - span[0] < LEAST_WORDS:
+            return False
+        return self.specific[t].intersection(range(*span)) <= set(matched)
+
+    def leaks_in(self, text: str) -> list[tuple[int, int, int, str]]:
+        """``(number of the text, matching words, score, passage)`` for every text that stands in the document; the best stretch of each."""
+        ws = words(text)
+        get = self.ids.get
+        ids = np.fromiter((get(w, -1) for w in ws), np.int32, len(ws))
+        best: dict[int, tuple[int, int, str]] = {}
+        for t, first, last in self.stretches(*seed_codes(ids)):
+            lo, hi = max(0, first - AROUND), min(len(ws), last + SEED + AROUND)
+            score, matched, span, (a, b) = align(self.coded[t], ids[lo:hi])
+            if self.held(t, score, matched, span) and (t not in best or best[t][1] < score):
+                best[t] = (len(matched), score, " ".join(ws[lo + a : lo + b]))
+        return [(self.names[t], *v) for t, v in sorted(best.items())]
+
+
+def item_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different texts of ``items (item_id, text)``: ``text_id, ws, opening, specific`` (words, positions of the seeds that open a
+    match and of the words that stand in at most ``RARE`` texts), and which item holds which: ``text_id, item_id``. Of repeated item ids one text counts; items without words are left out."""
+
+    def split(batches):
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "ws": [words(t) for t in b["text"]]})
+
+    one = items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+    each = one.mapInPandas(split, "item_id long, ws array<string>").filter(F.size("ws") > 0)
+    each = cut(each.withColumn("h", F.xxhash64("ws")))
+    texts = cut(each.groupBy("h", "ws").agg(F.min("item_id").alias("text_id")))
+    members = each.join(texts, ["h", "ws"]).select("text_id", "item_id")
+    seeds = texts.filter(F.size("ws") >= SEED).select("text_id", (F.size("ws") - SEED).alias("end"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws") - SEED + 1), lambda k: F.xxhash64(F.slice("ws", k, SEED)))).alias("pos", "seed"))
+    common = seeds.select("text_id", "seed").distinct().groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > RARE)
+    seeds = seeds.join(common, "seed", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    w = Window.partitionBy("text_id").orderBy("pos")
+    whole = (F.col("pos") + WINDOW - 1 <= F.col("end")) | (F.col("pos") == 0)
+    seeds = seeds.withColumn("least", F.when(whole, F.min("n").over(w.rowsBetween(0, WINDOW - 1))))
+    opens = F.col("n") == F.greatest(F.lit(1), F.max("least").over(w.rowsBetween(1 - WINDOW, 0)))
+    opening = seeds.withColumn("opens", (F.col("n") == 1) | opens).filter("opens").groupBy("text_id").agg(F.sort_array(F.collect_list("pos")).alias("opening"))
+    at = texts.select("text_id", F.posexplode("ws").alias("pos", "word"))
+    usual = at.select("text_id", "word").distinct().groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > RARE)
+    specific = at.join(usual, "word", "left_anti").groupBy("text_id").agg(F.sort_array(F.collect_list("pos")).alias("specific"))
+    none = F.array().cast("array<int>")
+    return texts.join(opening, "text_id").join(specific, "text_id", "left").select("text_id", "ws", "opening", F.coalesce("specific", none).alias("specific")), members
+
+
+def leaks(docs: DataFrame, items: DataFrame, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
     """``doc_id, item_id, words, score, passage`` for every document (``doc_id, text``) that holds an item (``item_id, text``).
 
-    Null, empty and short texts hold nothing; of repeated item ids one text counts. Items come to the driver in passes of bounded size;
-    documents are never shuffled or collected.
+    Null, empty and short texts hold nothing; of repeated item ids one text counts, and each of several items of the same words is
+    reported. Texts come to the driver in passes of about ``words_per_pass`` words, which changes no result; documents are never
+    shuffled or collected.
     """
     spark = docs.sparkSession
     ship(spark)
-    items = items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    passes = max(1, -(-items.count() // items_per_pass))
+    texts, members = item_texts(items)
+    texts = cut(texts)
+    total = texts.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // words_per_pass))
     out = None
     for p in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).groupBy("item_id").agg(F.max("text").alias("text")).collect()
-        own = {r["item_id"]: words(r["text"]) for r in rows}
-        seeds, rare = seed_table(own)
-        ids = {w: k for k, w in enumerate(sorted({w for ws in own.values() for w in ws}))}
-        coded = {i: np.array([ids[w] for w in ws], np.int64) for i, ws in own.items()}
-        sent = spark.sparkContext.broadcast((coded, seeds, rare, ids))
+        rows = texts.filter(F.pmod(F.xxhash64("text_id"), F.lit(passes)) == p).collect()
+        sent = spark.sparkContext.broadcast(ItemTexts([tuple(r) for r in rows]))
 
         def run(batches, sent=sent):
-            coded, seeds, rare, ids = sent.value
+            own = sent.value
             for b in batches:
-                found = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) if t for x in leaks_in(t, coded, seeds, rare, ids)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "score", "passage"])
+                found = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) if t for x in own.leaks_in(t)]
+                yield pd.DataFrame(found, columns=["doc_id", "text_id", "words", "score", "passage"])
 
-        one = spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, item_id long, words int, score int, passage string")
+        one = spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, text_id long, words int, score int, passage string")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.join(checked_broadcast(cut(members)), "text_id").select("doc_id", "item_id", "words", "score", "passage")
 
 
 def corpus_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm.leaks import SEED, seed_table
+from graphweft.llm.leaks import SEED, runs
 from graphweft.llm.words import TAG, WORD, plain, words
 from graphweft.session import ship, spread, table as read_table
 
@@ -222,7 +222,7 @@ def fit_model(samples: DataFrame, items: DataFrame, max_samples: int = MAX_SAMPL
     """The model of the graded samples (``text, level_no``) and the seeds of the test items (``text``)."""
     rows = samples.filter(F.col("text").isNotNull() & F.col("level_no").isNotNull()).orderBy(F.xxhash64("text")).limit(max_samples).select("text", "level_no").collect()
     texts = items.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("text")).limit(max_items).select("text").collect()
-    seeds = frozenset(seed_table({k: words(r["text"]) for k, r in enumerate(texts)})[0])
+    seeds = frozenset(s for r in texts for s in runs(words(r["text"])))
     return train([r["text"] for r in rows], [r["level_no"] for r in rows], seeds), seeds
 
 

@@ -18,7 +18,9 @@ MARKS = re.compile("[\u0300-\u036f]")
 BROKEN_WORD = re.compile(r"(?<=[^\W\d_])[-\u2010\u2011][ \t]*(?:\r\n|\r|\n)[ \t>]*(?=[^\W\d_])")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 ESCAPE = re.compile(r"\\[nrt\"]")
-WORD = re.compile(r"[^\W_]+")
+#: Blocks of scripts that are written without spaces (Thai, Lao, Burmese, Khmer, Kana, Han); each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?!_)\w")
 
 
 def plain(text: str) -> str:
