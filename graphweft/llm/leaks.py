@@ -98,18 +98,15 @@ class ItemTexts:
     def stretches(self, codes: np.ndarray, known: np.ndarray) -> list[tuple[int, int, int]]:
         """``(text, first, last)``: seed positions of each stretch of a document that may hold a text."""
         at = np.flatnonzero(known)
-        if not len(at) or not len(self.codes):
-            return []
-        k = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
-        hit = self.codes[k] == codes[at]
+        hit = at[_among(codes[at], self.codes)]
         opens: dict[int, list[int]] = {}
-        for p, i in zip(at[hit].tolist(), k[hit].tolist()):
+        for p, i in zip(hit.tolist(), np.searchsorted(self.codes, codes[hit]).tolist()):
             for t in self.texts[self.first[i] : self.last[i]].tolist():
                 opens.setdefault(t, []).append(p)
         out = []
         for t, opened in opens.items():
             own = self.seeds[t]
-            mine = at[own[np.minimum(np.searchsorted(own, codes[at]), len(own) - 1)] == codes[at]]
+            mine = at[_among(codes[at], own)]
             ends = np.flatnonzero(np.diff(mine) > STRETCH) + 1
             for part in np.split(mine, ends):
                 if len(part) >= min(HITS, len(self.coded[t]) - SEED + 1) and any(part[0] <= p <= part[-1] for p in opened):
@@ -127,18 +124,47 @@ class ItemTexts:
             return False
         return self.specific[t].intersection(range(*span)) <= set(matched)
 
-    def leaks_in(self, text: str) -> list[tuple[int, int, int, str]]:
-        """``(number of the text, matching words, score, passage)`` for every text that stands in the document; the best stretch of each."""
-        ws = words(text)
+    def leaks_in(self, texts: list[str]) -> list[tuple[int, int, int, int, str]]:
+        """``(position, number of the text, matching words, score, passage)`` for every item text that stands in each of ``texts``; the best stretch of each."""
+        split = [words(t) for t in texts]
+        size = np.array([len(ws) + 1 for ws in split], np.int64)
+        start = np.cumsum(size) - size
         get = self.ids.get
-        ids = np.fromiter((get(w, -1) for w in ws), np.int32, len(ws))
-        best: dict[int, tuple[int, int, str]] = {}
-        for t, first, last in self.stretches(*seed_codes(ids)):
-            lo, hi = max(0, first - AROUND), min(len(ws), last + SEED + AROUND)
-            score, matched, span, (a, b) = align(self.coded[t], ids[lo:hi])
-            if self.held(t, score, matched, span) and (t not in best or best[t][1] < score):
-                best[t] = (len(matched), score, " ".join(ws[lo + a : lo + b]))
-        return [(self.names[t], *v) for t, v in sorted(best.items())]
+        ids = np.fromiter((get(w, -1) for ws in split for w in (*ws, None)), np.int32, size.sum())  # None: between two documents
+        codes, known = seed_codes(ids)
+        at = np.flatnonzero(known)
+        at = at[_among(codes[at], self.codes)]
+        out = []
+        for d in np.unique(np.searchsorted(start, at, "right") - 1).tolist():
+            ws, lo, n = split[d], start[d], max(0, len(split[d]) - SEED + 1)
+            best: dict[int, tuple[int, int, str]] = {}
+            for t, first, last in self.stretches(codes[lo : lo + n], known[lo : lo + n]):
+                a, b = max(0, first - AROUND), min(len(ws), last + SEED + AROUND)
+                score, matched, span, (x, y) = align(self.coded[t], ids[lo + a : lo + b])
+                if self.held(t, score, matched, span) and (t not in best or best[t][1] < score):
+                    best[t] = (len(matched), score, " ".join(ws[a + x : a + y]))
+            out += [(d, self.names[t], *v) for t, v in sorted(best.items())]
+        return out
+
+
+def _among(codes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(codes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)] == codes
+
+
+def _parts(docs: list, texts: list, most: int = 2_000_000):
+    """The documents with text, in parts of about ``most`` characters."""
+    ids, own, size = [], [], 0
+    for d, t in zip(docs, texts):
+        if t:
+            ids.append(d)
+            own.append(t)
+            size += len(t)
+            if size >= most:
+                yield ids, own
+                ids, own, size = [], [], 0
+    yield ids, own
 
 
 def item_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +216,7 @@ def leaks(docs: DataFrame, items: DataFrame, words_per_pass: int = WORDS_PER_PAS
         def run(batches, sent=sent):
             own = sent.value
             for b in batches:
-                found = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) if t for x in own.leaks_in(t)]
+                found = [(ids[k], *x) for ids, own_texts in _parts(b["doc_id"], b["text"]) for k, *x in own.leaks_in(own_texts)]
                 yield pd.DataFrame(found, columns=["doc_id", "text_id", "words", "score", "passage"])
 
         one = spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, text_id long, words int, score int, passage string")
