@@ -13,11 +13,18 @@ a AS (SELECT * FROM p UNION ALL SELECT * FROM s),
 c AS (SELECT *, count(*) OVER (PARTITION BY source_id, algorithm) AS n,
              count(*) OVER (PARTITION BY source_id, algorithm ORDER BY score) AS upto,
              count(*) OVER (PARTITION BY source_id, algorithm, score) AS here FROM a),
-v AS (SELECT source_id, target_id, list(CAST(floor((2 * upto - here) * 1000000000 / (2 * n)) AS BIGINT)) AS l FROM c GROUP BY ALL),
-f AS (SELECT source_id, target_id, l || list_transform(range(6 - len(l)), lambda x: 500000000) AS l FROM v),
+q AS (SELECT source_id, algorithm, target_id, CAST(floor((2 * upto - here) * 1000000000 / (2 * n)) AS BIGINT) AS pct FROM c),
+v AS (SELECT source_id, target_id, count(*) AS n, CAST(sum(pct) AS BIGINT) AS total FROM q GROUP BY ALL),
+x AS (SELECT q.source_id, algorithm, CASE WHEN n > 1 THEN pct // 100000 END AS x, CASE WHEN n > 1 THEN ((total - pct) // (n - 1)) // 100000 END AS y FROM q JOIN v USING (source_id, target_id)),
+m AS (SELECT source_id, algorithm, count(y) AS m, CAST(coalesce(sum(x), 0) AS DOUBLE) AS sx, CAST(coalesce(sum(y), 0) AS DOUBLE) AS sy, CAST(coalesce(sum(x * y), 0) AS DOUBLE) AS sxy, CAST(coalesce(sum(x * x), 0) AS DOUBLE) AS sxx, CAST(coalesce(sum(y * y), 0) AS DOUBLE) AS syy FROM x GROUP BY ALL),
+k AS (SELECT source_id, algorithm, CASE WHEN m * sxy - sx * sy > 0 AND m * sxx - sx * sx > 0 AND m * syy - sy * sy > 0
+  THEN least(1000, CAST(floor(1000 * (m * sxy - sx * sy) * (m * sxy - sx * sy) / ((m * sxx - sx * sx) * (m * syy - sy * sy))) AS BIGINT)) ELSE 0 END AS k FROM m),
+f AS (SELECT v.source_id, v.target_id, k.k, q.pct, coalesce(q.pct, 500000000) AS own,
+  CASE WHEN n - CASE WHEN pct IS NULL THEN 0 ELSE 1 END > 0 THEN (total - coalesce(pct, 0)) // (n - CASE WHEN pct IS NULL THEN 0 ELSE 1 END) ELSE 500000000 END AS rest
+  FROM v JOIN k USING (source_id) LEFT JOIN q ON q.source_id = v.source_id AND q.target_id = v.target_id AND q.algorithm = k.algorithm),
 """
-_P1 = _LATEST + "o AS (SELECT source_id, target_id, list_sort(list_transform(l, lambda x: list_sum(l) - x)) AS k FROM f),\n"
-_P1X = _LATEST + "o AS (SELECT source_id, target_id, list_sort(l) AS k FROM f),\n"
+_P1 = _LATEST + "o AS (SELECT source_id, target_id, list_sort(list((k * own + (1000 - k) * rest) // 1000)) AS k FROM f GROUP BY ALL),\n"
+_P1X = _LATEST + "o AS (SELECT source_id, target_id, list_sort(list(own)) AS k FROM f GROUP BY ALL),\n"
 _RANK = "r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY k DESC, target_id) AS r FROM o)\n"
 
 _P3 = """

@@ -1,12 +1,13 @@
 """One ranking from several differently scaled scores.
 
-Scores become percentiles within their source and algorithm, so that only their order counts. A target's percentiles form a vector
-that is compared by leximin: sorted ascending, then lexicographically, so that a weak part cannot be masked by a strong one.
-
-Plain leximin compares the single weakest scores first, and one noisy score decides. :func:`fuse` therefore applies leximin to the
-means that are left when one score is taken away (``vectors="leave_one_out"``): the weakest of them is the mean without the item's
-best score, so that no single score, however high, can lift an item, and no single noisy one sinks it. ``vectors="scores"`` is plain
-leximin.
+Scores become percentiles within their source and algorithm, so that only their order counts. A target's percentiles form its own vector,
+which is compared by leximin: sorted ascending, then lexicographically, so that a weak score cannot be masked by strong ones.
+
+Leximin looks at the single weakest score first, so a score that is unrelated to the others, or one that is missing, decides alone. What the scores of a source have
+in common is therefore measured first: ``r2``, the squared correlation of a score with the mean of the target's other scores, over the
+targets of that source (0 if it is negative). A score keeps the share ``r2`` of its percentile and takes ``1 - r2`` from the mean of
+the target's others (regression to what the others say); a missing one counts as the middle percentile and is treated alike. The same
+rule holds for every score. ``vectors="scores"`` leaves the percentiles as they are: leximin with missing scores in the middle.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.topn import latest, split, top_n
-from graphweft.session import cut, table
+from graphweft.llm.topn import latest, split, top_n, usable
+from graphweft.session import BROADCAST_ROWS, at_most, checked_broadcast, cut, table
 
 #: Percentiles are whole numbers of 0 .. UNIT, so that sums are exact in any order.
 UNIT = 1_000_000_000
@@ -52,30 +53,64 @@ def percentiles(df: DataFrame, keys: list[str], score: str, hot_rows: int = HOT_
     return cold.unionByName(hot.join(vals, [*keys, score]).select(*df.columns, "pct"))
 
 
-def leximin_vector(parts: Column, n_scores: int, vectors: str) -> Column:
-    """The array by which items are compared, the higher the better. Missing scores stand in the middle (percentile 1/2)."""
-    full = F.concat(parts, F.array_repeat(F.lit(UNIT // 2), F.greatest(F.lit(n_scores) - F.size(parts), F.lit(0))))
-    if vectors == "scores":
-        return F.array_sort(full)
-    total = F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.array_sort(F.transform(full, lambda x: total - x))
+def shares(items: DataFrame) -> DataFrame:
+    """``source_id, shares``: per source its algorithms in order, each with the share (thousandths) its scores keep.
+
+    Sums of whole numbers (percentiles of 0 .. 10,000), so that their order changes nothing; partial sums are made before the shuffle.
+    """
+    n, total = F.size("parts"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["pct"])
+    one = items.select("source_id", n.alias("n"), total.alias("total"), F.explode("parts").alias("p")).select("source_id", "p.algorithm", F.expr("p.pct div 100000").alias("x"), F.expr("CASE WHEN n > 1 THEN ((total - p.pct) div (n - 1)) div 100000 END").alias("y"))
+    both = F.when(F.col("y").isNotNull(), F.col("x"))
+    s = one.groupBy("source_id", "algorithm").agg(F.count("y").alias("m"), *[F.coalesce(F.sum(v), F.lit(0)).cast("double").alias(k) for k, v in (("sx", both), ("sy", F.col("y")), ("sxy", both * F.col("y")), ("sxx", both * both), ("syy", F.col("y") * F.col("y")))])
+    cov, vx, vy = F.expr("m * sxy - sx * sy"), F.expr("m * sxx - sx * sx"), F.expr("m * syy - sy * sy")
+    kept = F.when((cov > 0) & (vx > 0) & (vy > 0), F.least(F.lit(1000), F.floor(1000 * cov * cov / (vx * vy)))).otherwise(0).cast("long")
+    return s.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("algorithm", kept.alias("kept")))).alias("shares"))
+
+
+def leximin_vector(parts: Column, shares: Column, vectors: str) -> Column:
+    """A target's own vector in ascending order, one number for each algorithm of its source; the higher, the better."""
+    n, total = F.size(parts), F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x["pct"])
 
+    def part(a: Column) -> Column:
+        own = F.get(F.filter(parts, lambda x: x["algorithm"] == a["algorithm"]), F.lit(0))["pct"]
+        value = F.coalesce(own, F.lit(UNIT // 2))
+        if vectors == "scores":
+            return value
+        others = n - F.when(own.isNull(), 0).otherwise(1)
+        rest = F.when(others > 0, F.floor((total - F.coalesce(own, F.lit(0))) / others)).otherwise(UNIT // 2).cast("long")
+        return F.floor((a["kept"] * value + (1000 - a["kept"]) * rest) / 1000)
 
-def fuse(scores: DataFrame, n_scores: int, n: int, vectors: str = "leave_one_out", hot_rows: int = 200_000) -> DataFrame:
+    return F.array_sort(F.transform(shares, part))
+
+
+def fuse(scores: DataFrame, n: int, vectors: str = "supported", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The ``n`` best targets of each source from ``scores (source_id, algorithm, target_id, score)``, one row each.
 
-    Columns ``source_id, target_id, vector, rank``; equal vectors go in ascending order of ``target_id``. ``n_scores`` is the number of
-    scores an item can have; those it lacks count as percentile 1/2. Null sources, targets and algorithms are left out.
+    Columns ``source_id, target_id, vector, rank``; equal vectors go in ascending order of ``target_id``. A vector has one number for each algorithm
+    that its source has a score of. Null and NaN scores and null sources, targets and algorithms are left out; of repeated (source, algorithm, target)
+    rows the highest counts. Other columns are ignored; empty input gives no rows.
     """
-    scores = scores.select("source_id", "algorithm", "target_id", "score").filter(F.col("score").isNotNull() & F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("algorithm").isNotNull())
-    each = percentiles(scores, ["source_id", "algorithm"], "score")
-    items = each.groupBy("source_id", "target_id").agg(F.collect_list("pct").alias("_p"))
-    items = items.select("source_id", "target_id", leximin_vector(F.col("_p"), n_scores, vectors).alias("vector"))
-    return top_n(cut(items), ["source_id"], "vector", "target_id", n, hot_rows)
+    scores = scores.select("source_id", "algorithm", "target_id", "score").filter(usable("score") & F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("algorithm").isNotNull())
+    each = percentiles(scores, ["source_id", "algorithm"], "score", hot_rows)
+    items = each.groupBy("source_id", "target_id").agg(F.sort_array(F.collect_list(F.struct("algorithm", "pct"))).alias("p"))
+    last = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["algorithm"] != x["algorithm"], F.lit(True)))
+    items = cut(items.select("source_id", "target_id", last.alias("parts")))
+    items = with_shares(items, cut(shares(items)), hot_rows)
+    return top_n(items.select("source_id", "target_id", leximin_vector(F.col("parts"), F.col("shares"), vectors).alias("vector")), ["source_id"], "vector", "target_id", n, hot_rows)
+
+
+def with_shares(items: DataFrame, shares: DataFrame, hot_rows: int) -> DataFrame:
+    """The items with the shares of their source: by broadcast if the sources are few; else sources with many items by broadcast and the rest by shuffle."""
+    if at_most(shares, BROADCAST_ROWS):
+        return items.join(F.broadcast(shares), "source_id")
+    heavy = items.groupBy("source_id").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select("source_id")
+    cold, hot = split(items, ["source_id"], heavy)
+    out = cold.join(shares, "source_id")
+    return out if hot is None else out.unionByName(hot.join(checked_broadcast(cut(shares.join(heavy, "source_id", "left_semi"))), "source_id"))
 
 
-def related_targets(spark: SparkSession, sf_dir: str, n: int = 10, vectors: str = "leave_one_out") -> DataFrame:
-    """:func:`fuse` over the five algorithms of ``predictions`` and the score of ``similarity_results``, for sources of ``predictions``.
+def related_targets(spark: SparkSession, sf_dir: str, n: int = 10, vectors: str = "supported") -> DataFrame:
+    """:func:`fuse` over the algorithms of ``predictions`` and the score of ``similarity_results``, for sources of ``predictions``.
 
     Null and NaN scores are left out; of repeated (source, algorithm, target) rows the latest counts (at equal times the highest).
     """
@@ -83,7 +118,7 @@ def related_targets(spark: SparkSession, sf_dir: str, n: int = 10, vectors: str
     sources = p.select("source_id").distinct()
     s = table(spark, sf_dir, "similarity_results").select("source_id", F.lit("similarity_results").alias("algorithm"), F.col("id").alias("target_id"), "score", "searched_at")
     s = latest(s.join(sources, "source_id", "left_semi"), ["source_id", "algorithm", "target_id"], "score", "searched_at")
-    return fuse(cut(p.unionByName(s)), 6, n, vectors)
+    return fuse(cut(p.unionByName(s)), n, vectors)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +126,5 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with plain leximin, with ranks."""
+    """The same with the percentiles as they are, with ranks."""
     return related_targets(spark, sf_dir, vectors="scores").select("source_id", "target_id", "rank")
