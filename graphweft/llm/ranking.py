@@ -58,8 +58,7 @@ def shares(items: DataFrame) -> DataFrame:
 
     Sums of whole numbers (percentiles of 0 .. 10,000), so that their order changes nothing; partial sums are made before the shuffle.
     """
-    n, total = F.size("parts"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["pct"])
-    one = items.select("source_id", n.alias("n"), total.alias("total"), F.explode("parts").alias("p")).select("source_id", "p.algorithm", F.expr("p.pct div 100000").alias("x"), F.expr("CASE WHEN n > 1 THEN ((total - p.pct) div (n - 1)) div 100000 END").alias("y"))
+    one = items.select("source_id", "n", "total", F.explode("parts").alias("p")).select("source_id", "p.algorithm", F.expr("p.pct div 100000").alias("x"), F.expr("CASE WHEN n > 1 THEN ((total - p.pct) div (n - 1)) div 100000 END").alias("y"))
     both = F.when(F.col("y").isNotNull(), F.col("x"))
     s = one.groupBy("source_id", "algorithm").agg(F.count("y").alias("m"), *[F.coalesce(F.sum(v), F.lit(0)).cast("double").alias(k) for k, v in (("sx", both), ("sy", F.col("y")), ("sxy", both * F.col("y")), ("sxx", both * both), ("syy", F.col("y") * F.col("y")))])
     cov, vx, vy = F.expr("m * sxy - sx * sy"), F.expr("m * sxx - sx * sx"), F.expr("m * syy - sy * sy")
@@ -67,20 +66,19 @@ def shares(items: DataFrame) -> DataFrame:
     return s.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("algorithm", kept.alias("kept")))).alias("shares"))
 
 
-def leximin_vector(parts: Column, shares: Column, vectors: str) -> Column:
-    """A target's own vector in ascending order, one number for each algorithm of its source; the higher, the better."""
-    n, total = F.size(parts), F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x["pct"])
+def leximin_vector(vectors: str) -> Column:
+    """A target's own vector in ascending order from ``parts, n, total, shares``, one number for each algorithm of its source; the higher, the better."""
+    owns = F.transform("shares", lambda a: F.get(F.filter("parts", lambda x: x["algorithm"] == a["algorithm"]), F.lit(0))["pct"])
+    middle = F.lit(UNIT // 2)
+    if vectors == "scores":
+        return F.array_sort(F.transform(owns, lambda own: F.coalesce(own, middle)))
+    total, n = F.col("total"), F.col("n")
 
-    def part(a: Column) -> Column:
-        own = F.get(F.filter(parts, lambda x: x["algorithm"] == a["algorithm"]), F.lit(0))["pct"]
-        value = F.coalesce(own, F.lit(UNIT // 2))
-        if vectors == "scores":
-            return value
-        others = n - F.when(own.isNull(), 0).otherwise(1)
-        rest = F.when(others > 0, F.floor((total - F.coalesce(own, F.lit(0))) / others)).otherwise(UNIT // 2).cast("long")
-        return F.floor((a["kept"] * value + (1000 - a["kept"]) * rest) / 1000)
+    def part(a: Column, own: Column) -> Column:
+        rest = F.when(own.isNull(), F.floor(total / n)).when(n > 1, F.floor((total - own) / (n - 1))).otherwise(middle)
+        return F.floor((a["kept"] * F.coalesce(own, middle) + (1000 - a["kept"]) * rest) / 1000)
 
-    return F.array_sort(F.transform(shares, part))
+    return F.array_sort(F.zip_with("shares", owns, part))
 
 
 def fuse(scores: DataFrame, n: int, vectors: str = "supported", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -94,9 +92,11 @@ def fuse(scores: DataFrame, n: int, vectors: str = "supported", hot_rows: int =
     each = percentiles(scores, ["source_id", "algorithm"], "score", hot_rows)
     items = each.groupBy("source_id", "target_id").agg(F.sort_array(F.collect_list(F.struct("algorithm", "pct"))).alias("p"))
     last = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["algorithm"] != x["algorithm"], F.lit(True)))
-    items = cut(items.select("source_id", "target_id", last.alias("parts")))
+    items = items.select("source_id", "target_id", last.alias("parts"))
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["pct"])
+    items = cut(items.select("source_id", "target_id", "parts", F.size("parts").alias("n"), total.alias("total")))
     items = with_shares(items, cut(shares(items)), hot_rows)
-    return top_n(items.select("source_id", "target_id", leximin_vector(F.col("parts"), F.col("shares"), vectors).alias("vector")), ["source_id"], "vector", "target_id", n, hot_rows)
+    return top_n(items.select("source_id", "target_id", leximin_vector(vectors).alias("vector")), ["source_id"], "vector", "target_id", n, hot_rows)
 
 
 def with_shares(items: DataFrame, shares: DataFrame, hot_rows: int) -> DataFrame:
