@@ -2,9 +2,10 @@
 
 Every line is read under the explicit schema of its header (``import_columns``) and the dialect of its run (``import_runs``):
 the reader always yields the fields it can make out and never drops a line. Lines that do not fit keep their raw text in
-``_corrupt_record`` and are then classified by quoting, field count and casts. Everything is a JVM expression; one regular
-expression per line finds the fields, and what it leaves over shows broken quoting. Spark's own CSV reader is not used for
-this: it takes one fixed dialect per scan and silently accepts text after a closing quote.
+``_corrupt_record`` and are then classified by quoting, field count and casts. Everything is a JVM expression: a line without a quote is
+split at its delimiter; for the others one regular expression finds the fields, and what it leaves over shows broken quoting. Values are checked by a
+cast where a cast is as strict as the type, and by a pattern only where the cast would accept more. Spark's own CSV reader is not used for this: it
+takes one fixed dialect per scan, ends a record at an unquoted line break and silently accepts text after a closing quote.
 """
 
 from __future__ import annotations
@@ -40,21 +41,37 @@ def split_line(line: Column, delimiter: Column, quote: Column) -> Column:
     twice = F.concat(quote, quote)
     # A quoted field has a quote at both ends; one quote alone is never matched.
     bare = F.transform(raw, lambda f: F.when(F.startswith(f, quote), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), twice, quote)).otherwise(f))
-    return F.struct(bare.alias("fields"), (covered != F.length(text)).alias("broken"))
+    quoted = F.struct(bare.alias("fields"), (covered != F.length(text)).alias("broken"))
+    plain = F.struct(F.split(line, _literal(delimiter), -1).alias("fields"), F.lit(False).alias("broken"))
+    return F.when(line.isNotNull() & ~F.contains(line, quote), plain).otherwise(quoted)
+
+
+def _literal(c: Column) -> Column:
+    """A pattern for one character that needs no compiling: itself, or a backslash and itself unless it is a letter or digit."""
+    return F.when(c.rlike(r"\A[0-9A-Za-z]\z"), c).when(c.rlike(r"\A[\x00-\x7f]\z"), F.concat(F.lit("\\"), c)).otherwise(_code_point(c))
+
+
+#: Types whose values are any text, and whole numbers, which are read as 64 bits whatever their width.
+TEXT_TYPES = ("", "string", "char", "point", "date", "localtime", "time", "localdatetime", "datetime", "duration")
+WHOLE_TYPES = ("byte", "short", "int", "long")
 
 
 def scalar_ok(value: Column, kind: Column) -> Column:
-    """Whether one value is valid as ``int long float double boolean``; any other type takes every text."""
+    """Whether one value is valid as ``kind``: whole numbers, ``float``, ``double``, ``boolean`` or one of ``TEXT_TYPES``. No value is valid as another type.
+
+    ``inf`` and ``nan`` are not decimal notation and so no valid floats.
+    """
     return (
-        F.when(kind.isin("int", "long"), value.rlike(INT) & value.try_cast("bigint").isNotNull())
+        F.when(kind.isin(*TEXT_TYPES), F.lit(True))
+        .when(kind.isin(*WHOLE_TYPES), value.try_cast("bigint").isNotNull() & value.rlike(INT))
         .when(kind.isin("float", "double"), value.rlike(FLOAT))
-        .when(kind == "boolean", value.rlike(BOOL))
-        .otherwise(F.lit(True))
+        .when(kind == "boolean", value.isin("true", "false") | value.rlike(BOOL))
+        .otherwise(F.lit(False))
     )
 
 
 def _pieces(value: Column, delimiter: Column) -> Column:
-    return F.split(value, _code_point(delimiter), -1)
+    return F.split(value, _literal(delimiter), -1)
 
 
 def value_ok(value: Column, type_name: Column, dimensions: Column, array_delimiter: Column, vector_delimiter: Column) -> Column:

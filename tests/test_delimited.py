@@ -45,13 +45,13 @@ def brute_ok(v, t, dims, ad, vd):
         return len(parts) == dims and all(FLOAT.fullmatch(x) for x in parts)
     if t.endswith("[]"):
         return all(brute_ok(x, t[:-2], dims, ad, vd) for x in v.split(ad))
-    if t in ("int", "long"):
+    if t in ("byte", "short", "int", "long"):
         return bool(re.fullmatch(r"[+-]?[0-9]+", v)) and -(2**63) <= int(v) < 2**63
     if t in ("float", "double"):
         return bool(FLOAT.fullmatch(v))
     if t == "boolean":
         return v.strip() in ("true", "false")
-    return True
+    return t in ("", "string", "date", "char", "point", "duration")
 
 
 def brute_reason(line, header, o):
@@ -100,6 +100,17 @@ def test_reasons_against_brute_force(spark, d, q, empty):
     assert got == {i + 2: brute_reason(x, header, o) for i, x in enumerate(lines)}
 
 
+def test_every_type(spark):
+    values = ["1", "-1", "abc", "300", "70000", "9223372036854775807", "9223372036854775808", "inf", "NaN", "1.5", " 1.5 ", "true", " true", "TRUE", "a b", "1;2", "1;x", "true;false", ";"]
+    types = ["byte", "short", "int", "long", "float", "double", "boolean", "string", "char", "date", "point", "duration", "unknown", "byte[]", "short[]", "boolean[]", "string[]", "unknown[]", "float[]"]
+    for t in types:
+        header = [("x", "Property", t, None)]
+        rows, cols, runs = fixture(spark, values, header, delimiter="|")
+        got = [r.reason for r in delimited.read_lines(rows, cols, runs).orderBy("row_number").collect()]
+        o = {"delimiter": "|", "quote": '"', "array": ";", "vector": ":", "empty": True}
+        assert got == [brute_reason(v, [x[1:] for x in header], o) for v in values], t
+
+
 def test_whole_table_against_brute_force(spark, sf):
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     runs = {r.run_id: r for r in t("import_runs").collect()}
