@@ -110,6 +110,11 @@ def headers(columns: DataFrame, runs: DataFrame) -> DataFrame:
     return head.join(dialect, "run_id", "left").select("source_id", "run_id", "target", F.transform("h", lambda x: x["c"]).alias("header"), "o")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once a row: a filter on it is not moved below, where it would be computed for every use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def read_lines(rows: DataFrame, columns: DataFrame, runs: DataFrame) -> DataFrame:
     """``rows`` (``import_rows``) with their fields and, for those that fail, the reason and the raw text.
 
@@ -122,8 +127,9 @@ def read_lines(rows: DataFrame, columns: DataFrame, runs: DataFrame) -> DataFram
     j = r.join(headers(columns, runs), "source_id", "left")
     line = F.when(F.endswith("raw_line", F.lit("\r")), F.substring("raw_line", F.lit(1), F.length("raw_line") - 1)).otherwise(F.col("raw_line"))
     o = F.col("o")
-    j = j.withColumn("_s", split_line(line, o["delimiter"], o["quote"]))
-    pairs = F.arrays_zip(F.col("_s.fields").alias("v"), F.col("header").alias("h"))
+    j = once(j, "_s", split_line(line, o["delimiter"], o["quote"]))
+    j = once(j, "_p", F.arrays_zip(F.col("_s.fields").alias("v"), F.col("header").alias("h")))
+    pairs = F.col("_p")
     empty_id = F.exists(pairs, lambda x: (x["h"]["kind"] == "Id") & (x["v"] == ""))
     bad = F.exists(
         pairs,
@@ -139,7 +145,7 @@ def read_lines(rows: DataFrame, columns: DataFrame, runs: DataFrame) -> DataFram
         .when(empty_id, "empty_id")
         .when(bad, "invalid_value")
     )
-    j = j.withColumn("reason", reason)
+    j = once(j, "reason", reason)
     return j.select(
         "source_id", "row_number", "read_at", "run_id", "target", "header", o["started_at"].alias("started_at"), o["array_delimiter"].alias("array_delimiter"), o["vector_delimiter"].alias("vector_delimiter"),
         o["empty_strings_as_null"].alias("empty_strings_as_null"), F.col("_s.fields").alias("fields"), "reason", F.when(F.col("reason").isNotNull(), F.col("raw_line")).alias("_corrupt_record"),
