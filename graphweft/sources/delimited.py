@@ -25,24 +25,30 @@ def _code_point(c: Column) -> Column:
     return F.concat(F.lit("\\x{"), F.hex(F.ascii(c).cast("long")), F.lit("}"))
 
 
-def split_line(line: Column, delimiter: Column, quote: Column) -> Column:
+def field_pattern(delimiter: Column, quote: Column) -> Column:
+    """The pattern of a delimiter and the field after it, for lines that hold the quote."""
+    d, q = _code_point(delimiter), _code_point(quote)
+    return F.concat(
+        F.lit("(?s)"), d, F.lit("("), q, F.lit("(?:[^"), q, F.lit("]++|"), q, q, F.lit(")*+"), q, F.lit("(?="), d, F.lit("|\\z)|(?!"), q, F.lit(")[^"), d, F.lit("]*+)")
+    )
+
+
+def split_line(line: Column, o: Column) -> Column:
     """Struct ``(fields, broken)``: the fields with their quotes taken off, and whether the quoting is broken.
 
     A field that starts with the quote ends at the next single quote, which must stand before a delimiter or the end; a doubled
-    quote inside it is one quote. In all other fields a quote is ordinary text. An empty line is one empty field.
+    quote inside it is one quote. In all other fields a quote is ordinary text. An empty line is one empty field. ``o`` is the dialect with its
+    patterns (:func:`headers`).
     """
-    d, q = _code_point(delimiter), _code_point(quote)
-    field = F.concat(
-        F.lit("(?s)"), d, F.lit("("), q, F.lit("(?:[^"), q, F.lit("]++|"), q, q, F.lit(")*+"), q, F.lit("(?="), d, F.lit("|\\z)|(?!"), q, F.lit(")[^"), d, F.lit("]*+)")
-    )
+    delimiter, quote = o["delimiter"], o["quote"]
     text = F.concat(delimiter, line)
-    raw = F.regexp_extract_all(text, field, F.lit(1))
+    raw = F.regexp_extract_all(text, o["field"], F.lit(1))
     covered = F.aggregate(raw, F.lit(0).cast("int"), lambda n, f: n + F.length(f) + 1)
     twice = F.concat(quote, quote)
     # A quoted field has a quote at both ends; one quote alone is never matched.
     bare = F.transform(raw, lambda f: F.when(F.startswith(f, quote), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), twice, quote)).otherwise(f))
     quoted = F.struct(bare.alias("fields"), (covered != F.length(text)).alias("broken"))
-    plain = F.struct(F.split(line, _literal(delimiter), -1).alias("fields"), F.lit(False).alias("broken"))
+    plain = F.struct(F.split(line, o["at"], -1).alias("fields"), F.lit(False).alias("broken"))
     return F.when(line.isNotNull() & ~F.contains(line, quote), plain).otherwise(quoted)
 
 
@@ -56,32 +62,39 @@ TEXT_TYPES = ("", "string", "char", "point", "date", "localtime", "time", "local
 WHOLE_TYPES = ("byte", "short", "int", "long")
 
 
-def scalar_ok(value: Column, kind: Column) -> Column:
-    """Whether one value is valid as ``kind``: whole numbers, ``float``, ``double``, ``boolean`` or one of ``TEXT_TYPES``. No value is valid as another type.
+#: How a value is checked: not at all, as a key, or as one of the kinds of values; 9: as a type that is unknown.
+NO_CHECK, KEY, WHOLE, REAL, TRUTH, VECTOR, ARRAY, UNKNOWN = 0, 1, 2, 3, 4, 5, 6, 9
 
-    ``inf`` and ``nan`` are not decimal notation and so no valid floats.
-    """
+
+def _check_of(type_name: Column) -> Column:
+    return F.when(type_name.isin(*TEXT_TYPES), NO_CHECK).when(type_name.isin(*WHOLE_TYPES), WHOLE).when(type_name.isin("float", "double"), REAL).when(type_name == "boolean", TRUTH).otherwise(UNKNOWN)
+
+
+def check_of(kind: Column, type_name: Column) -> tuple[Column, Column]:
+    """How the values of a header's column are checked, and the elements of its arrays: worked out once a column, not once a value."""
+    own = F.when(type_name == "vector", VECTOR).when(F.endswith(type_name, F.lit("[]")), ARRAY).otherwise(_check_of(type_name))
+    return F.when(kind == "Id", KEY).when(kind.isin("Property", "NamedEmbedding"), own).otherwise(NO_CHECK), _check_of(F.regexp_replace(type_name, r"\[\]\z", ""))
+
+
+def scalar_ok(value: Column, check: Column) -> Column:
+    """Whether one value is valid: whole numbers within 64 bits, decimal notation (so neither ``inf`` nor ``nan``), ``true`` or ``false``, any
+    text for ``TEXT_TYPES``. No value is valid as another type."""
     return (
-        F.when(kind.isin(*TEXT_TYPES), F.lit(True))
-        .when(kind.isin(*WHOLE_TYPES), value.try_cast("bigint").isNotNull() & value.rlike(INT))
-        .when(kind.isin("float", "double"), value.rlike(FLOAT))
-        .when(kind == "boolean", value.isin("true", "false") | value.rlike(BOOL))
+        F.when(check == NO_CHECK, F.lit(True))
+        .when(check == WHOLE, value.try_cast("bigint").isNotNull() & value.rlike(INT))
+        .when(check == REAL, value.rlike(FLOAT))
+        .when(check == TRUTH, value.isin("true", "false") | value.rlike(BOOL))
         .otherwise(F.lit(False))
     )
 
 
-def _pieces(value: Column, delimiter: Column) -> Column:
-    return F.split(value, _literal(delimiter), -1)
-
-
-def value_ok(value: Column, type_name: Column, dimensions: Column, array_delimiter: Column, vector_delimiter: Column) -> Column:
+def value_ok(value: Column, h: Column, o: Column) -> Column:
     """Whether ``value`` is valid as its header's type: a scalar, ``T[]`` or ``vector``."""
-    element = F.regexp_replace(type_name, r"\[\]\z", "")
-    vector = _pieces(value, vector_delimiter)
+    vector = F.split(value, o["vector_at"], -1)
     return (
-        F.when(type_name == "vector", ((F.size(vector) == dimensions) | dimensions.isNull()) & F.forall(vector, lambda x: x.rlike(FLOAT)))
-        .when(F.endswith(type_name, F.lit("[]")), F.forall(_pieces(value, array_delimiter), lambda x: scalar_ok(x, element)))
-        .otherwise(scalar_ok(value, type_name))
+        F.when(h["check"] == VECTOR, ((F.size(vector) == h["dims"]) | h["dims"].isNull()) & F.forall(vector, lambda x: x.rlike(FLOAT)))
+        .when(h["check"] == ARRAY, (h["of"] == NO_CHECK) | F.forall(F.split(value, o["array_at"], -1), lambda x: scalar_ok(x, h["of"])))
+        .otherwise(scalar_ok(value, h["check"]))
     )
 
 
@@ -94,6 +107,8 @@ def headers(columns: DataFrame, runs: DataFrame) -> DataFrame:
     one = columns.groupBy("source_id", "col_index").agg(
         F.max(F.struct("run_id", "target", "name", "kind", F.lower(F.trim(F.coalesce("value_type", F.lit("")))).alias("value_type"), F.coalesce("vector_dimensions", F.get(F.map_values(F.map_filter("options", lambda k, v: k == "dimensions")), F.lit(0)).try_cast("int")).alias("dims"), "id_space")).alias("c")
     )
+    check, of = check_of(F.col("c.kind"), F.col("c.value_type"))
+    one = one.withColumn("c", F.struct("c.*", check.alias("check"), of.alias("of")))
     head = one.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("col_index", "c"))).alias("h"), F.max("c.run_id").alias("run_id"), F.max("c.target").alias("target"))
     dialect = runs.groupBy("run_id").agg(
         F.max(
@@ -107,6 +122,9 @@ def headers(columns: DataFrame, runs: DataFrame) -> DataFrame:
             )
         ).alias("o")
     )
+    o = F.col("o")
+    patterns = [field_pattern(o["delimiter"], o["quote"]).alias("field"), _literal(o["delimiter"]).alias("at"), _literal(o["array_delimiter"]).alias("array_at"), _literal(o["vector_delimiter"]).alias("vector_at")]
+    dialect = dialect.withColumn("o", F.struct("o.*", *patterns))
     return head.join(dialect, "run_id", "left").select("source_id", "run_id", "target", F.transform("h", lambda x: x["c"]).alias("header"), "o")
 
 
@@ -127,16 +145,11 @@ def read_lines(rows: DataFrame, columns: DataFrame, runs: DataFrame) -> DataFram
     j = r.join(headers(columns, runs), "source_id", "left")
     line = F.when(F.endswith("raw_line", F.lit("\r")), F.substring("raw_line", F.lit(1), F.length("raw_line") - 1)).otherwise(F.col("raw_line"))
     o = F.col("o")
-    j = once(j, "_s", split_line(line, o["delimiter"], o["quote"]))
+    j = once(j, "_s", split_line(line, o))
     j = once(j, "_p", F.arrays_zip(F.col("_s.fields").alias("v"), F.col("header").alias("h")))
     pairs = F.col("_p")
-    empty_id = F.exists(pairs, lambda x: (x["h"]["kind"] == "Id") & (x["v"] == ""))
-    bad = F.exists(
-        pairs,
-        lambda x: x["h"]["kind"].isin("Property", "NamedEmbedding")
-        & ~((x["v"] == "") & o["empty_strings_as_null"])
-        & ~value_ok(x["v"], x["h"]["value_type"], x["h"]["dims"], o["array_delimiter"], o["vector_delimiter"]),
-    )
+    empty_id = F.exists(pairs, lambda x: (x["h"]["check"] == KEY) & (x["v"] == ""))
+    bad = F.exists(pairs, lambda x: (x["h"]["check"] > KEY) & ~((x["v"] == "") & o["empty_strings_as_null"]) & ~value_ok(x["v"], x["h"], o))
     reason = (
         F.when(F.col("header").isNull() | o.isNull(), "no_header")
         .when(F.col("raw_line").isNull(), "no_line")
