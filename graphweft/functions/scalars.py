@@ -5,10 +5,11 @@ A builder takes a :class:`Call` with the argument columns and their Spark types.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 class Call:
     args: list[Column]
     types: list[T.DataType]
+    #: The values of the arguments that are literals, else None.
+    literals: list
 
     def a(self, k: int) -> Column:
         return self.args[k]
@@ -90,9 +93,6 @@ _simple("reverse", lambda c: F.reverse(c.a(0)))
 _simple("size", lambda c: F.when(c.a(0).isNotNull(), F.size(c.a(0)).cast("long")) if c.is_list() or isinstance(c.types[0], T.MapType) else F.char_length(c.a(0)).cast("long"))
 
 # -- conversion ------------------------------------------------------------------------------------------------------
-FALSE_TEXTS = ("", "false")
-
-
 def _to_text(c: Call) -> Column:
     return F.coalesce(F.to_json(c.a(0)) if isinstance(c.types[0], (T.ArrayType, T.StructType, T.MapType)) else c.a(0).cast("string"), F.lit("null"))
 
@@ -106,9 +106,15 @@ def _to_int(c: Call) -> Column:
 
 
 def _to_bool(c: Call) -> Column:
+    """Null stays null; every text but the empty one and ``false`` is true, as are all numbers but 0, lists and maps."""
+    x, t = c.a(0), c.types[0]
+    if isinstance(t, T.NullType):
+        return F.lit(None).cast("boolean")
     if c.is_string():
-        return F.coalesce(~F.lower(c.a(0)).isin(*FALSE_TEXTS), F.lit(False))
-    return truthy(c.a(0), c.types[0])
+        return ~x.isin("", "false")
+    if isinstance(t, (T.BooleanType, T.NumericType)):
+        return truthy(x, t) | F.when(x.isNull(), F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    return F.when(x.isNotNull(), F.lit(True))
 
 
 _simple("toString str", _to_text)
@@ -118,7 +124,16 @@ _simple("toBoolean bool", _to_bool)
 _simple("toIntegerOrNull", _to_int)
 _simple("toFloatOrNull", lambda c: c.a(0).try_cast("double"))
 _simple("toBooleanOrNull", lambda c: F.when(F.lower(c.a(0)).isin("true", "false"), F.lower(c.a(0)) == "true") if c.is_string() else c.a(0).try_cast("boolean"))
-_simple("toList", lambda c: c.a(0) if c.is_list() else F.array(c.a(0)))
+
+
+def _to_list(c: Call) -> Column:
+    if isinstance(c.types[0], T.NullType):
+        return F.array().cast("array<string>")
+    own = c.a(0) if c.is_list() else F.array(c.a(0))
+    return F.when(c.a(0).isNull(), F.slice(own, 1, 0)).otherwise(own)
+
+
+_simple("toList", _to_list)
 TYPE_NAMES = ((T.NullType, "NULL"), (T.BooleanType, "BOOLEAN"), (T.IntegralType, "INTEGER"), (T.NumericType, "FLOAT"), (T.ArrayType, "LIST"), (T.StructType, "MAP"), (T.MapType, "MAP"))
 
 
@@ -292,7 +307,35 @@ def _to_json(c: Call) -> Column:
 _simple("apoc.coll.flatten", _flatten)
 _simple("apoc.coll.toSet", lambda c: F.array_distinct(c.a(0)))
 _simple("apoc.convert.toJson", _to_json)
-_simple("apoc.convert.fromJsonMap", lambda c: F.from_json(c.a(0), "map<string,string>"))
+
+
+def _floats(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.NumericType):
+        return T.DoubleType()
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_floats(t.elementType))
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _floats(f.dataType)) for f in t.fields])
+    return t
+
+
+def _from_json_map(c: Call) -> Column:
+    """A literal object has the types of its values, numbers as floats; of other texts the values are text, nested ones as JSON. What is no object is null."""
+    if c.literals[0] is not None:
+        text = str(c.literals[0])
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            whole = None
+        if not isinstance(whole, dict):
+            return F.lit(None).cast("map<string,string>")
+        if whole:
+            kind = _floats(T.DataType.fromDDL(SparkSession.active().range(1).select(F.schema_of_json(F.lit(text))).first()[0]))
+            return F.from_json(c.a(0), kind)
+    return F.from_json(c.a(0), "map<string,string>")
+
+
+_simple("apoc.convert.fromJsonMap", _from_json_map)
 
 
 def _map_merge(c: Call) -> Column:

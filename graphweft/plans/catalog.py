@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEP = "·"
+#: Columns that number the rows of each list a writing statement unwinds, the outermost first.
+ORDER = f"{SEP}order"
 
 
 @dataclass(frozen=True)

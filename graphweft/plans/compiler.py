@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from graphweft.functions.scalars import REGISTRY, Call, is_number, truthy
 from graphweft.plans import paths, rewrites
 from graphweft.plans import syntax as s
-from graphweft.plans.catalog import SEP, GraphCatalog, NodeTable, RelTable
+from graphweft.plans.catalog import ORDER, SEP, GraphCatalog, NodeTable, RelTable
 from graphweft.plans.parser import parse
 from graphweft.session import cut
 
@@ -56,6 +56,7 @@ class Compiler:
         self.scope: dict[str, Bound] = {}
         self.needs: set[str] = set()
         self.counter = 0
+        self.writes = False
 
     def temp(self) -> str:
         self.counter += 1
@@ -337,7 +338,7 @@ class Compiler:
         f = self.catalog.functions.get(name) or REGISTRY.get(name)
         if f is None:
             raise CompileError(f"unknown function {e.name}")
-        return f(Call([self.col(a, env) for a in e.args], [self.type_of(a, env) for a in e.args]))
+        return f(Call([self.col(a, env) for a in e.args], [self.type_of(a, env) for a in e.args], [a.value if isinstance(a, s.Lit) else None for a in e.args]))
 
     def aggregate(self, e: s.Fn, env: dict) -> Column:
         name, arg = e.name.lower(), e.args[0]
@@ -914,7 +915,8 @@ class Compiler:
             self.df = self.df.offset(self.number(p.skip))
         if p.limit is not None:
             self.df = self.df.limit(self.number(p.limit))
-        self.df = self.df.select(*[F.col(f"`{x}`").alias(final[x]) for x in mine])
+        order = [] if grouped or p.distinct or p.last else [F.col(f"`{x}`") for x in self.df.columns if x.startswith(ORDER)]
+        self.df = self.df.select(*[F.col(f"`{x}`").alias(final[x]) for x in mine], *order)
         self.scope = new
         if p.last:
             self.df = self.df.select(*[(self.value_of(n) if new[n].kind in ("node", "rel") else F.col(f"`{n}`")).alias(n) for n in names])
@@ -974,6 +976,7 @@ class Compiler:
     # -- clauses -----------------------------------------------------------------------------------------------
     def clauses(self, todo: list) -> None:
         self.needs |= needed(todo)
+        self.writes |= any(isinstance(x, (s.SetClause, s.Merge, s.Foreach)) for x in todo)
         self.path_vars = [{r.var for r in p.rels} | {p.var} for x in todo if isinstance(x, s.Match) for p in x.paths if p.var]
         todo = [self.name_path(x) for x in todo]
         for k, clause in enumerate(todo):
@@ -1017,7 +1020,12 @@ class Compiler:
             self.df = self.df.limit(0).withColumn(u.alias, F.lit(None).cast("string"))
         else:
             items = self.col(u.expr)
-            self.df = self.df.withColumn(u.alias, F.explode(items))
+            if self.writes:  # the order of the rows decides which of several writes to one entity stands
+                at = f"{ORDER}{sum(x.startswith(ORDER) for x in self.df.columns)}"
+                kept = [F.col(f"`{x}`") for x in self.df.columns if x != u.alias]
+                self.df = self.df.select(*kept, F.posexplode(items).alias(at, u.alias))
+            else:
+                self.df = self.df.withColumn(u.alias, F.explode(items))
         self.scope[u.alias] = Bound("value")
 
     def subquery(self, q: s.Query) -> None:

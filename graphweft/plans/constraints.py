@@ -140,9 +140,10 @@ def violations(cat, rule: dict) -> DataFrame | None:
     return out
 
 
-def check(cat) -> None:
+def check(cat, unchanged: set[int] = frozenset()) -> None:
+    """Raise if a constraint is violated. Constraints that see only ``unchanged`` frames (their ``id``) held before and are not looked at again."""
     for name, rule in cat.constraints.items():
-        if not rule.get("rule"):
+        if not rule.get("rule") or all(id(f) in unchanged for f in _frames(cat, rule)):
             continue
         bad = violations(cat, rule)
         if bad is not None and not bad.isEmpty():

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from graphweft.plans import constraints
 from graphweft.plans import syntax as s
-from graphweft.plans.catalog import SEP, NodeTable, RelTable
+from graphweft.plans.catalog import ORDER, SEP, NodeTable, RelTable
 from graphweft.session import settle
 
 
@@ -34,8 +34,9 @@ def apply(comp, clause) -> None:
         return
     if comp.df is None:
         comp.df = comp.spark.range(1).select()
+    before = {id(t.df) for t in (*comp.catalog.nodes, *comp.catalog.rels)}
     {s.Create: create, s.Merge: merge, s.SetClause: set_clause, s.Remove: remove, s.Delete: delete, s.Foreach: foreach}[type(clause)](comp, clause)
-    constraints.check(comp.catalog)
+    constraints.check(comp.catalog, before)
 
 
 def _node_table(comp, labels: tuple[str, ...]) -> int | None:
@@ -248,10 +249,15 @@ def _set(comp, items: list[s.SetItem], when: Column) -> None:
 
 
 def _write_property(comp, var: str, name: str, value: Column, when: Column) -> None:
-    """The value of the last row (the greatest, as rows have no order) of each entity goes to its table and to the rows."""
+    """The value of the last row of each entity goes to its table and to the rows.
+
+    Rows are in the order of the lists they were unwound from; among rows without one the greatest value stands, null being the least.
+    """
     b = comp.scope[var]
     column = f"{var}{SEP}{name}"
-    new = comp.df.filter(when & c(var, "_id").isNotNull()).groupBy(c(var, "_id").alias("·id")).agg(F.max(F.struct(value.alias("v"))).alias("·v"))
+    order = [F.col(f"`{x}`") for x in comp.df.columns if x.startswith(ORDER)]
+    last = F.struct(*order, value.alias("v"))
+    new = comp.df.filter(when & c(var, "_id").isNotNull()).groupBy(c(var, "_id").alias("·id")).agg(F.max_by(F.struct(value.alias("v")), last).alias("·v"))
     new = settle(new)
     kind = new.schema["·v"].dataType["v"].dataType
     tables = comp.catalog.nodes if b.kind == "node" else comp.catalog.rels
@@ -327,20 +333,27 @@ def delete(comp, clause: s.Delete) -> None:
         b = comp.scope[var]
         ids = settle(comp.df.select(c(var, "_id").alias("·d")).filter(F.col("`·d`").isNotNull()).distinct())
         if b.kind == "rel":
+            types = {t.type for t in b.tables}
             for k, t in enumerate(cat.rels):
-                cat.rels[k] = replace(t, df=settle(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
+                if not types or t.type in types:
+                    cat.rels[k] = replace(t, df=settle(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
             continue
         if b.kind != "node":
             raise WriteError("DELETE takes nodes and relationships")
+        labels = {t.labels for t in b.tables}
         for k, t in enumerate(cat.rels):
-            touch = (F.col(t.src) == F.col("`·d`")) | (F.col(t.dst) == F.col("`·d`"))
-            if clause.detach:
-                rest = t.df.join(ids, F.col(t.src) == F.col("`·d`"), "left_anti").join(ids, F.col(t.dst) == F.col("`·d`"), "left_anti")
-                cat.rels[k] = replace(t, df=settle(rest))
-            elif not t.df.join(ids, touch, "left_semi").isEmpty():
+            ends = [F.col(end) == F.col("`·d`") for end, own in ((t.src, t.src_labels), (t.dst, t.dst_labels)) if own is None or own in labels]
+            if all(t.df.join(ids, on, "left_semi").isEmpty() for on in ends):
+                continue
+            if not clause.detach:
                 raise WriteError("a node still has relationships; use DETACH DELETE")
+            rest = t.df
+            for on in ends:
+                rest = rest.join(ids, on, "left_anti")
+            cat.rels[k] = replace(t, df=settle(rest))
         for k, t in enumerate(cat.nodes):
-            cat.nodes[k] = replace(t, df=settle(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
+            if t.labels in labels:
+                cat.nodes[k] = replace(t, df=settle(t.df.join(ids, F.col(t.id) == F.col("`·d`"), "left_anti")))
 
 
 def foreach(comp, clause: s.Foreach) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.plans.catalog import GraphCatalog
+from graphweft.session import cut
+from graphweft.sources.delimited import TEXT_TYPES, check_of, value_ok
 
 #: Kinds by header word, Spark types by value type.
 KINDS = {"ID": "Id", "LABEL": "Label", "IGNORE": "Ignore", "START_ID": "StartId", "END_ID": "EndId", "TYPE": "Type"}
@@ -43,6 +45,8 @@ def parse_header(fields: list[str], target: str) -> list[HeaderColumn]:
         if word.upper() in KINDS and word == word.upper():
             out.append(HeaderColumn(name.strip(), KINDS[word], "", space or None))
         else:
+            if word.lower() not in (*TEXT_TYPES, *SPARK, "vector"):
+                raise ValueError(f"header field {f!r} has an unknown type")
             out.append(HeaderColumn(name.strip(), "NamedEmbedding" if opts.get("embedding") == "true" else "Property", word.lower() + (many or ""), None, dims))
     kinds = [c.kind for c in out]
     need = ["Id"] if target == "node" else ["StartId", "EndId"]
@@ -61,7 +65,8 @@ def read_text(spark: SparkSession, path: str, delimiter: str = ",", quote: str =
             for r in rows:
                 with zipfile.ZipFile(io.BytesIO(r["content"])) as z:
                     for m in sorted(z.namelist()):
-                        yield from z.read(m).decode("utf-8").splitlines()
+                        with z.open(m) as member:  # line by line: only the archive itself is held
+                            yield from (line.rstrip("\r\n") for line in io.TextIOWrapper(member, "utf-8", newline="\n"))
 
         lines = spark.read.format("binaryFile").load(path).rdd.flatMap(lambda r: unpack([r]))
         return spark.read.options(**(options | {"multiLine": False})).csv(lines)
@@ -78,12 +83,27 @@ def typed(c: Column, h: HeaderColumn, array_delimiter: str = ";", vector_delimit
     return c.try_cast(to) if to != "string" else c
 
 
+def _check_values(df: DataFrame, cols: list[HeaderColumn], path: str, empty_as_null: bool, array_delimiter: str, vector_delimiter: str) -> None:
+    """Raise if a value is not valid as its header's type."""
+    o = F.struct(F.lit(f"\\Q{array_delimiter}\\E").alias("array_at"), F.lit(f"\\Q{vector_delimiter}\\E").alias("vector_at"))
+    bad = F.lit(False)
+    for i, c in enumerate(cols):
+        if c.kind in ("Property", "NamedEmbedding") and c.value_type.removesuffix("[]") not in TEXT_TYPES:
+            check, of = check_of(F.lit(c.kind), F.lit(c.value_type))
+            h = F.struct(check.alias("check"), of.alias("of"), F.lit(c.dimensions).cast("int").alias("dims"))
+            v = _value(i, empty_as_null)
+            bad = bad | (v.isNotNull() & ~value_ok(v, h, o))
+    n = df.filter(bad).count()
+    if n:
+        raise ValueError(f"{n} rows of {path} have a value that is invalid as its type")
+
+
 def import_graph(spark: SparkSession, node_files: list[str], rel_files: list[str], delimiter: str = ",", quote: str = '"', array_delimiter: str = ";", vector_delimiter: str = ";", empty_as_null: bool = False, skip_bad_relationships: bool = True, tolerance: int = 1000) -> tuple[GraphCatalog, dict]:
     """A graph from header CSV files, and a report of what was read and how many relationships had a missing end.
 
-    The first line of each file is its header. One node table per label set that occurs would need a pass per set; labels therefore
-    stay a property ``labels`` beside the file's first label, which names the table. More bad relationships than the tolerance, or any
-    when they are not skipped, is an error.
+    The first line of each file is its header. Nodes with the same set of labels are one table, those without a label are ``Node``; more than 1,000
+    sets, or types of relationships, in one file are an error. So are a value that is invalid as its type, a relationship without a type, and
+    more relationships with a missing end than the tolerance, or any when they are not skipped.
     """
     cat = GraphCatalog.empty(spark)
     all_ids = None
@@ -100,14 +120,14 @@ def import_graph(spark: SparkSession, node_files: list[str], rel_files: list[str
         if cols[id_at].name:
             out.append(F.col(f"_c{id_at}").alias(cols[id_at].name))
         labels = F.filter(F.split(F.col(f"_c{label_at}"), f"\\Q{array_delimiter}\\E"), lambda x: x != "") if label_at is not None else F.array().cast("array<string>")
-        df = df.select(*out, labels.alias("labels"))
+        _check_values(df, cols, path, empty_as_null, array_delimiter, vector_delimiter)
+        df = df.select(*out, F.array_sort(F.array_distinct(F.coalesce(labels, F.array().cast("array<string>")))).alias("_set"))
         all_ids = df.select("_id") if all_ids is None else all_ids.unionByName(df.select("_id"))
-        first = F.coalesce(F.get("labels", F.lit(0)), F.lit("Node"))
-        names = [r[0] for r in df.select(first).distinct().limit(1001).collect()]
-        if len(names) > 1000:
-            raise ValueError("more than 1,000 first labels in one file")
-        for n in sorted(names):
-            cat.add_nodes(n, df.filter(first == n))
+        sets = [tuple(r[0]) for r in df.select("_set").distinct().limit(1001).collect()]
+        if len(sets) > 1000:
+            raise ValueError("more than 1,000 label sets in one file")
+        for own in sorted(sets):
+            cat.add_nodes(own or ("Node",), df.filter(F.col("_set") == F.array(*map(F.lit, own)).cast("array<string>")).drop("_set"))
     bad, read = 0, 0
     for path in rel_files:
         raw = read_text(spark, path, delimiter, quote)
@@ -121,11 +141,14 @@ def import_graph(spark: SparkSession, node_files: list[str], rel_files: list[str
             return F.concat(F.lit(f"{space}/" if space else ""), F.col(f"_c{at[k]}"))
 
         props = [typed(_value(i, empty_as_null), c, array_delimiter, vector_delimiter).alias(c.name or f"col_{i}") for i, c in enumerate(cols) if c.kind == "Property"]
-        kind = F.col(f"_c{at['Type']}") if at["Type"] is not None else F.lit("RELATED_TO")
+        if at["Type"] is None:
+            raise ValueError("a relationship header needs a Type column")
+        _check_values(df, cols, path, empty_as_null, array_delimiter, vector_delimiter)
+        kind = F.col(f"_c{at['Type']}")
         df = df.select(F.uuid().alias("_rid"), end("StartId").alias("_src"), end("EndId").alias("_dst"), kind.alias("_kind"), *props)
-        from graphweft.session import cut
-
         df = cut(df)
+        if not df.filter(F.coalesce(F.col("_kind"), F.lit("")) == "").isEmpty():
+            raise ValueError(f"a relationship of {path} has no type")
         ids = all_ids.distinct()
         good = df.join(ids.withColumnRenamed("_id", "_src"), "_src", "left_semi").join(ids.withColumnRenamed("_id", "_dst"), "_dst", "left_semi")
         n, g = df.count(), good.count()
@@ -133,7 +156,7 @@ def import_graph(spark: SparkSession, node_files: list[str], rel_files: list[str
         names = [r[0] for r in good.select("_kind").distinct().limit(1001).collect()]
         if len(names) > 1000:
             raise ValueError("more than 1,000 types in one file")
-        for t in sorted(x for x in names if x):
+        for t in sorted(names):
             cat.add_rels(t, good.filter(F.col("_kind") == t).drop("_kind"), id="_rid")
     if bad and (not skip_bad_relationships or bad > tolerance):
         raise ValueError(f"{bad} relationships have a missing end")
