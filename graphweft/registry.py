@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = tuple(f"graphweft.queries.{m}" for m in ("general", "language", "writes", "engine"))
+MODULES = tuple(f"graphweft.queries.{m}" for m in ("general", "language", "writes", "engine", "more"))
 
 
 def queries() -> dict:

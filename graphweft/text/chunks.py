@@ -115,3 +115,27 @@ def softmax(v: Column) -> Column:
     m = F.array_max(v)
     e = F.transform(v, lambda x: F.exp(x - m))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def batch_nearest(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``id, neighbour, score``: the nearest other row of ``vectors (id, vector)`` for each of ``queries (id, vector)``, by cosine; ties by id.
+
+    A stated set of queries against all rows. Queries come to every task in blocks of 1,000 as a broadcast, each vector is read once per
+    block, and only the best of each partition is shuffled. Vectors of another length than the query, null and all-zero ones are left out.
+    """
+    from functools import reduce
+
+    from graphweft.functions.scalars import cosine
+    from graphweft.session import cut
+
+    numbered = cut(queries.select("id", "vector").filter(F.col("vector").isNotNull()).dropDuplicates(["id"]))
+    blocks = max(1, -(-numbered.count() // 1_000))
+    v = vectors.select(F.col("id").alias("neighbour"), F.col("vector").alias("other")).filter(F.col("other").isNotNull())
+
+    def one(k: int) -> DataFrame:
+        part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        near = v.join(F.broadcast(part), (F.col("id") != F.col("neighbour")) & (F.size("vector") == F.size("other")))
+        near = near.select("id", "neighbour", cosine(F.col("vector"), F.col("other")).alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+        return near.groupBy("id").agg(F.max("score").alias("score"), F.min_by("neighbour", F.struct(-F.col("score"), F.col("neighbour"))).alias("neighbour")).select("id", "neighbour", "score")
+
+    return reduce(DataFrame.unionByName, [one(k) for k in range(blocks)])
