@@ -32,6 +32,8 @@ from graphweft.session import cut, discard, settle, ship, table
 SAMPLE, PER_CELL, MAX_CELLS, PROBES = 40_000, 1_200, 8_192, 2
 #: Rows of a cell that one task compares at once; in a crowd, CROWD_BLOCKS times as many.
 BLOCK, CROWD_BLOCKS = 8_192, 4
+#: Queries that one task of :func:`nearest` compares at once.
+QUERIES = 8_192
 #: Cells are one crowd if the mean similarity of their vectors is less than this below the similarity asked for; rounding of single precision.
 SLACK, ROUNDING = 0.1, 2e-6
 #: Best levels of two bits for normally distributed values, and where the larger one begins.
@@ -41,7 +43,7 @@ EPSILON, EPSILON_KTH = 3.0, 1.9
 #: An exact copy is visible to others if it is among this many first ids of its group (k + 1: enough for k neighbours).
 K = 10
 
-CODE = "coll short, cell int, bb int, qb int, role byte, codes binary"
+CODE = "coll int, cell int, bb int, qb int, role byte, codes binary"
 
 
 def usable(v: Column, dims: Column) -> Column:
@@ -153,9 +155,10 @@ def fit(sample: np.ndarray, cells: int, rounds: int = 3) -> np.ndarray:
 def merge_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups of identical vectors ``(field, space, gid, vec, rep, n)``, and the members ``(field, space, gid, id)`` of groups with more than one id.
 
-    Only ids and hashes (128 bits) of all rows are regrouped besides one vector per group and input partition.
+    Two hashes of 64 bits tell vectors apart: that two of a billion collections' different vectors share both is less likely than one in 10^9.
+    Only ids and hashes of all rows are regrouped besides one vector per group and input partition.
     """
-    x = vectors.withColumn("_h", F.struct(F.xxhash64("vec").alias("a"), F.hash("vec").cast("long").alias("b")))
+    x = vectors.withColumn("_h", F.struct(F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(1), "vec").alias("b")))
     groups = x.groupBy("field", "space", "_h").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("rep"), F.max("id").alias("_last"))
     groups = settle(groups.select("field", "space", F.col("_h.a").alias("h1"), F.col("_h.b").alias("h2"), "vec", "rep", "_last").withColumn("gid", F.monotonically_increasing_id()))
     several = groups.filter(F.col("rep") != F.col("_last")).select("field", "space", F.struct(F.col("h1").alias("a"), F.col("h2").alias("b")).alias("_h"), "gid")
@@ -214,22 +217,32 @@ class _Model:
 
 
 def _models(groups: DataFrame, least: float, probes: int, sample: int, per_cell: int, max_cells: int, block: int) -> dict[tuple, _Model]:
-    """The model of each collection; what comes to the driver is at most ``sample`` vectors of each, one after the other."""
-    counts = {(r["field"], r["space"]): (r["n"], r["d"]) for r in groups.groupBy("field", "space").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).collect()}
-    out = {}
-    for (field, space), (n, d) in counts.items():
-        cells = int(min(max_cells, max(1, n // per_cell)))
-        if cells == 1:
-            out[field, space] = _Model(d, np.zeros((1, d), np.float32), np.zeros(1, int), probes)
-            continue
-        share = min(1.0, sample / n)
-        mine = groups.filter((F.col("field") == field) & (F.col("space") == space) & (F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)))
-        vecs = mine.select("vec").limit(sample).toArrow().column("vec").combine_chunks()
-        x = vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
-        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        centres = fit(x, min(cells, len(x)))
-        out[field, space] = m = _Model(d, centres, crowds(x, centres, least), probes)
-        m.measure(x, n, block)
+    """The model of each collection. Those of more than one cell are fitted on at most ``sample`` vectors each, all in one job, a collection
+    in one task; their centroids come to the driver, one for ``per_cell`` vectors."""
+    counts = groups.groupBy("field", "space").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"))
+    known = {(r["field"], r["space"]): (r["n"], r["d"]) for r in counts.collect()}
+    out = {key: _Model(d, np.zeros((1, d), np.float32), np.zeros(1, int), probes) for key, (n, d) in known.items()}
+    several = [(f, sp, min(1.0, sample / n), int(min(max_cells, n // per_cell)), d) for (f, sp), (n, d) in known.items() if min(max_cells, n // per_cell) > 1]
+    if not several:
+        return out
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf.sort_values("gid")["vec"].iloc[:sample])
+        centres = fit(x, min(int(pdf["cells"].iloc[0]), len(x)))
+        label = crowds(x, centres, least)
+        m = _Model(x.shape[1], centres, label, probes)
+        m.measure(x, int(pdf["n"].iloc[0]), block)
+        packed = [np.ascontiguousarray(v).tobytes() for v in (centres, label.astype(np.int64), m.nb.astype(np.int64), m.nq.astype(np.int64))]
+        return pd.DataFrame({"field": pdf["field"].iloc[:1], "space": pdf["space"].iloc[:1], **{k: [v] for k, v in zip(("centres", "label", "nb", "nq"), packed)}})
+
+    chosen = groups.sparkSession.createDataFrame(several, "field string, space string, share double, cells int, d int")
+    mine = groups.join(F.broadcast(chosen), ["field", "space"]).filter(F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < (F.col("share") * 1_000_000).cast("int") + 1)
+    mine = mine.join(F.broadcast(counts.select("field", "space", "n")), ["field", "space"]).select("field", "space", "gid", "vec", "cells", "n")
+    for r in mine.groupBy("field", "space").applyInPandas(fitted, "field string, space string, centres binary, label binary, nb binary, nq binary").collect():
+        d = known[r["field"], r["space"]][1]
+        m = _Model(d, np.frombuffer(r["centres"], np.float32).reshape(-1, d), np.frombuffer(r["label"], np.int64), probes)
+        m.nb, m.nq = np.frombuffer(r["nb"], np.int64), np.frombuffer(r["nq"], np.int64)
+        out[r["field"], r["space"]] = m
     return out
 
 
@@ -386,13 +399,13 @@ def similar_pairs(vectors: DataFrame, least: float = 0.8, k: int = K, probes: in
     groups, members = merge_copies(vectors)
     models = sorted(_models(groups, least, probes, sample, per_cell, max_cells, block).items())
     rows = groups.select("field", "space", "gid", "vec").mapInPandas(_coded(models), CODE)
-    found = rows.groupBy("coll", "cell", "bb", "qb").applyInPandas(_candidates([len(m.turn) for _, m in models], least, k), "coll short, x long, y long")
+    found = rows.groupBy("coll", "cell", "bb", "qb").applyInPandas(_candidates([len(m.turn) for _, m in models], least, k), "coll int, x long, y long")
     found = found.distinct()
     vec = groups.select("gid", "vec", "rep")  # the same for both ends, so that it is shuffled once
     near = found.join(vec.select(F.col("gid").alias("x"), F.col("vec").alias("vx"), F.col("rep").alias("rx")), "x")
     near = near.join(vec.select(F.col("gid").alias("y"), F.col("vec").alias("vy"), F.col("rep").alias("ry")), "y")
     near = near.withColumn("similarity", _cosine(F.col("vx"), F.col("vy"))).filter(F.col("similarity") >= least)
-    name = [F.get(F.array(*[F.lit(key[k]) for key, *_ in models]).cast("array<string>"), F.col("coll").cast("int")) for k in (0, 1)]
+    name = [F.get(F.array(*[F.lit(key[k]) for key, *_ in models]).cast("array<string>"), F.col("coll")) for k in (0, 1)]
     near = near.select(name[0].alias("field"), name[1].alias("space"), "x", "y", "rx", "ry", "similarity")
     near = cut(near)
     members = cut(members)
@@ -420,7 +433,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = 20_
     """For each row of ``queries`` its ``k`` most similar rows of ``vectors``: ``field, space, id, neighbour, similarity, rank``.
 
     Both have ``field, space, id, vec``. All vectors are compared by code, in blocks of about ``block`` vectors against blocks of about
-    1,000 queries; those that the bounds cannot rule out are reranked within the block. Equal similarities go by ascending id; a
+    ``QUERIES`` queries, so that the vectors are sent once for so many queries; those that the bounds cannot rule out are reranked within the block. Equal similarities go by ascending id; a
     vector is no neighbour of itself. Repeated ids count once.
     """
     spark = vectors.sparkSession
@@ -428,13 +441,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = 20_
     sizes = {(r["field"], r["space"]): r["n"] for r in vectors.groupBy("field", "space").agg(F.count("*").alias("n")).collect()}
     asked = {(r["field"], r["space"]): r["n"] for r in queries.groupBy("field", "space").agg(F.count("*").alias("n")).collect()}
 
-    def cuts(counts: dict, size: int) -> Column:
-        c = F.lit(1)
-        for (f, s), n in counts.items():
-            c = F.when((F.col("field") == f) & (F.col("space") == s), F.lit(max(1, -(-n // size)))).otherwise(c)
-        return c
-
-    nb, nq = cuts(sizes, block), cuts(asked, 1_000)
+    cuts = spark.createDataFrame([(f, p, max(1, -(-n // block)), max(1, -(-asked.get((f, p), 0) // QUERIES))) for (f, p), n in sizes.items()] or [("", "", 1, 1)], "field string, space string, nb int, nq int")
+    vectors, queries = (df.select("field", "space", "id", "vec").join(F.broadcast(cuts), ["field", "space"]) for df in (vectors, queries))
+    nb, nq = F.col("nb"), F.col("nq")
     cols = ["field", "space", "id", "vec"]
     base = vectors.select(*cols, F.lit(0).alias("role"), F.pmod(F.xxhash64("id"), nb).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"))
     ask = queries.select(*cols, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("bb"), F.pmod(F.xxhash64("id"), nq).cast("int").alias("qb"))
