@@ -2,8 +2,8 @@
 
 The references of every table become one narrow frame ``(tbl, row_id, ref_column, key, t)``. They are pre-aggregated per key and
 period; keys with more rows than one ten-thousandth of all references (so at most 10,000 keys, however large the tables) are heavy:
-their lives are broadcast and their rows never shuffled. The remaining keys, none of them hot, are anti-joined by shuffle, and both
-results are united.
+their lives are broadcast, if their number allows it, and their rows never shuffled. The remaining keys, none of them hot, are anti-joined by
+shuffle, and both results are united.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.session import cut, micros, month_of_micros, table
+from graphweft.session import BROADCAST_ROWS, checked_broadcast, cut, micros, month_of_micros, table
 from graphweft.sources.delimited import import_lines
 
 #: A key is heavy above this many rows and above ``1 / HEAVY_SHARE`` of all references.
@@ -26,31 +26,41 @@ def references(df: DataFrame, tbl: str, row_id: Column, t: Column, columns: dict
 
 
 def lives(nodes: DataFrame) -> DataFrame:
-    """One row per id with its distinct lives ``[from, to)`` in microseconds; ``to`` is null while it lives."""
-    life = F.struct((F.col("created_at_unix_ms") * 1000).alias("from"), (F.col("deleted_at_unix_ms") * 1000).alias("to"))
-    return nodes.filter(F.col("created_at_unix_ms").isNotNull()).groupBy(F.col("id").alias("key")).agg(F.collect_set(life).alias("lives"))
+    """One row per life ``[born, dead)`` of an id in microseconds; ``dead`` is null while it lives. Copies stay."""
+    n = nodes.filter(F.col("id").isNotNull() & F.col("created_at_unix_ms").isNotNull())
+    return n.select(F.col("id").alias("key"), (F.col("created_at_unix_ms") * 1000).alias("born"), (F.col("deleted_at_unix_ms") * 1000).alias("dead"))
 
 
-def _dead(t: str = "t") -> Column:
-    alive = F.exists("lives", lambda x: (x["from"] <= F.col(t)) & (x["to"].isNull() | (F.col(t) < x["to"])))
-    return ~F.coalesce(alive, F.lit(False))
-
-
-def orphans(refs: DataFrame, nodes: DataFrame, total: int, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def orphans(refs: DataFrame, nodes: DataFrame, total: int, heavy_rows: int = HEAVY_ROWS, most_lives: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``refs`` whose key has no life at ``t``: ``tbl, row_id, ref_column, key, t``; copies are kept.
 
-    ``total`` is an upper bound of the references (table counts, which parquet holds in its footers).
+    ``total`` is an upper bound of the references (table counts, which parquet holds in its footers). Lives of heavy keys are broadcast up to ``most_lives``
+    rows; beyond that the heavy keys join by shuffle as well, where skewed partitions are split.
     """
+    refs = refs.select("tbl", "row_id", "ref_column", "key", "t")
     at_least = max(heavy_rows, total // HEAVY_SHARE)
     per_period = refs.groupBy("key", month_of_micros(F.col("t")).alias("period")).agg(F.count("*").alias("n"))
     heavy = per_period.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > at_least).select("key")
     heavy = cut(heavy)  # at most HEAVY_SHARE keys
-    hot_lives = lives(nodes.join(F.broadcast(heavy.withColumnRenamed("key", "id")), "id", "left_semi"))
-    marked = heavy.join(hot_lives, "key", "left")
-    hot = refs.join(F.broadcast(marked), "key").filter(_dead())
-    rest = refs.join(F.broadcast(heavy), "key", "left_anti").join(lives(nodes), "key", "left").filter(_dead())
-    cols = ["tbl", "row_id", "ref_column", "key", "t"]
-    return hot.select(cols).unionByName(rest.select(cols))
+    lived = lives(nodes)
+
+    def dead(r: DataFrame, of: DataFrame) -> DataFrame:
+        of = of.withColumnRenamed("key", "own")
+        alive = (F.col("born") <= F.col("t")) & (F.col("dead").isNull() | (F.col("t") < F.col("dead")))
+        return r.join(of, (F.col("key") == F.col("own")) & alive, "left_anti").select("tbl", "row_id", "ref_column", "key", "t")
+
+    if heavy.isEmpty():
+        return dead(refs, lived)
+    hot_lives = cut(lived.join(F.broadcast(heavy), "key", "left_semi").distinct())
+    hot = dead(refs.join(F.broadcast(heavy), "key", "left_semi"), checked_broadcast(hot_lives, most_lives))
+    return hot.unionByName(dead(refs.join(F.broadcast(heavy), "key", "left_anti"), lived))
+
+
+def reasons(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``found`` with ``why``: the key is ``missing`` altogether, its first life comes ``later``, or the one before ``t`` was ``deleted``."""
+    first = lives(nodes).groupBy(F.col("key").alias("own")).agg(F.min("born").alias("born"))
+    why = F.when(F.col("born").isNull(), "missing").when(F.col("born") > F.col("t"), "later").otherwise("deleted")
+    return found.join(first, F.col("key") == F.col("own"), "left").withColumn("why", why).drop("own", "born")
 
 
 def import_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +120,12 @@ def p2_edges_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_references(spark, sf_dir, ("edges", "edge_suggestions")).groupBy("tbl", "ref_column", month_of_micros(F.col("t")).alias("month")).agg(F.count("*").alias("orphans"))
 
 
+def p2_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table, month and why the node does not live: missing, later or deleted."""
+    found = reasons(orphan_references(spark, sf_dir), table(spark, sf_dir, "nodes"))
+    return found.groupBy("tbl", month_of_micros(F.col("t")).alias("month"), "why").agg(F.count("*").alias("orphans"))
+
+
 def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run: relationship lines with an orphan end, the reported ``bad_relationships`` and whether the tolerance holds.
 

@@ -63,6 +63,7 @@ def queries() -> dict:
         "p2_found": references.p2_found,
         "p2_by_month": references.p2_by_month,
         "p2_edges_by_month": references.p2_edges_by_month,
+        "p2_by_reason": references.p2_by_reason,
         "p2_runs": references.p2_runs,
         "p4_found": delimited.p4_found,
         "p4_reasons": delimited.p4_reasons,
@@ -75,6 +76,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2 + " SELECT tbl, row_id, ref_column FROM o",
         "p2_by_month": _P2 + _MONTHS,
         "p2_edges_by_month": "WITH " + _orphans(_TABLES) + _MONTHS,
+        "p2_by_reason": _P2
+        + """, b AS (SELECT id, min(created_at_unix_ms) * 1000 AS born FROM nodes GROUP BY 1)
+        SELECT tbl, strftime(make_timestamp(x[1]), '%Y-%m') AS month, CASE WHEN born IS NULL THEN 'missing' WHEN born > x[1] THEN 'later' ELSE 'deleted' END AS why, count(*) AS orphans FROM o LEFT JOIN b ON b.id = x[2] GROUP BY ALL""",
         "p2_runs": _P2_RUNS,
         "p4_found": _P4,
         "p4_reasons": _P4_REASONS,

@@ -25,11 +25,17 @@ def test_hot_keys_and_lives_against_brute_force(spark):
     nodes += nodes[:5] + [("n1", 400, None, "x", "y"), ("n2", None, None, "x", "y"), (None, 1, None, "x", "y")]
     rows = [("t", f"r{k}", "c", "n0" if k % 3 else f"n{rng.randrange(40)}", rng.randrange(600) * 1000) for k in range(1500)]
     refs, n = tables(spark, rows, nodes)
-    for heavy in (10, 10_000):  # with and without heavy keys
-        got = sorted(tuple(r) for r in references.orphans(refs, n, 3000, heavy_rows=heavy).collect())
+    for heavy, most in ((10, 1000), (10, 0), (10_000, 1000)):  # heavy keys with few and many lives, no heavy keys
+        got = sorted(tuple(r) for r in references.orphans(refs, n, 3000, heavy_rows=heavy, most_lives=most).collect())
         assert got == brute(rows, nodes)
 
 
+def test_reasons(spark):
+    rows = [("t", "a", "c", "none", 5000), ("t", "b", "c", "k", 500), ("t", "c", "c", "k", 2500), ("t", "d", "c", "k", 4500)]
+    refs, n = tables(spark, rows, [("k", 1, 2, "", ""), ("k", 3, 4, "", ""), ("other", 1, None, "", "")])
+    assert {r.row_id: r.why for r in references.reasons(references.orphans(refs, n, 4), n).collect()} == {"a": "missing", "b": "later", "c": "deleted", "d": "deleted"}
+
+
 def test_no_rows_no_nodes(spark):
     refs, n = tables(spark, [("t", "a", "c", "k", 5)], [("k", 0, None, "", "")])
     assert references.orphans(refs.limit(0), n, 1).count() == 0
