@@ -185,13 +185,17 @@ def _id(t):
 
 
 def fulltext_hits(comp, index: str, query: str, relationships: bool) -> DataFrame:
-    """``id, score``: BM25 of the query's words, filtered by the whole query; rows the words do not score count 1."""
+    """``id, score``. Nodes: BM25 of the query's words, filtered by the whole query; rows the words do not score count 1. Relationships: the query's own score, with its boosts."""
     tables, props = _target(comp, index, relationships)
     tree = lucene.parse(query)
     out = None
     for t in tables:
         have = [p for p in props if p in t.df.columns] or [p for p, k in t.df.dtypes if k == "string" and not p.startswith("_")]
         docs = t.df.select(_id(t), *[F.col(f"`{p}`").cast("string").alias(p) for p in have])
+        if relationships:
+            hits = docs.select("id", lucene.score(tree, {p: F.col(f"`{p}`") for p in have}).alias("score")).filter(F.col("score").isNotNull())
+            out = hits if out is None else out.unionByName(hits)
+            continue
         text = fulltext.index_text(have)
         match = docs.filter(lucene.condition(tree, {p: F.col(f"`{p}`") for p in have})).select("id")
         ranked = fulltext.bm25(docs, "id", text, lucene.positive_text(tree))
@@ -199,7 +203,7 @@ def fulltext_hits(comp, index: str, query: str, relationships: bool) -> DataFram
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return rows(comp, [], "id string, score double")
-    return out.groupBy("id").agg(F.sum("score").alias("score"))
+    return out.groupBy("id").agg((F.max if relationships else F.sum)("score").alias("score"))
 
 
 def _window(df: DataFrame, options: dict | None) -> DataFrame:

@@ -56,24 +56,23 @@ def lucene_boolean(spark, sf):
 
 
 def lucene_wildcard_fuzzy(spark, sf):
-    tree = lucene.parse("text:snapsh?t AND (text:indx~1 OR text:/rollb.*/)")
+    tree = lucene.parse("text:snapsh?t AND (text:indx~1 OR text:/ROLLB.*ed/)")
     d = table(spark, sf, "documents")
     return d.filter(lucene.condition(tree, {"text": F.col("text")})).select("doc_id")
 
 
 def lucene_phrase_range(spark, sf):
-    tree = lucene.parse('text:"vector index" AND n_chars:[200 TO 900}')
+    tree = lucene.parse('text:"ector INDEX" AND n_chars:[200 TO 900}')
     d = table(spark, sf, "documents")
     return d.filter(lucene.condition(tree, {"text": F.col("text"), "n_chars": F.col("n_chars")})).select("doc_id")
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-_LUCENE_BOOLEAN = f"""WITH w AS (SELECT doc_id, lang, {_WORDS} AS w FROM documents)
-SELECT doc_id FROM w WHERE list_contains(w, 'vector') AND (list_contains(w, 'index') OR list_contains(w, 'label')) AND NOT contains(' ' || array_to_string(w, ' ') || ' ', ' search service ')"""
-_LUCENE_WILDCARD = f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents)
-SELECT doc_id FROM w WHERE len(list_filter(w, lambda x: regexp_full_match(x, 'snapsh.t'))) > 0 AND (len(list_filter(w, lambda x: levenshtein(x, 'indx') <= 1)) > 0 OR len(list_filter(w, lambda x: regexp_full_match(x, 'rollb.*'))) > 0)"""
-_LUCENE_PHRASE = f"""WITH w AS (SELECT doc_id, n_chars, {_WORDS} AS w FROM documents)
-SELECT doc_id FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' vector index ') AND n_chars >= 200 AND n_chars < 900"""
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+_LUCENE_BOOLEAN = f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents)
+SELECT doc_id FROM w WHERE list_contains(w, 'vector') AND (list_contains(w, 'index') OR list_contains(w, 'label')) AND NOT contains(lower(text), 'search service')"""
+_LUCENE_WILDCARD = f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents)
+SELECT doc_id FROM w WHERE len(list_filter(w, lambda x: regexp_full_match(x, 'snapsh.t'))) > 0 AND (len(list_filter(w, lambda x: levenshtein(x, 'indx') <= 1)) > 0 OR regexp_matches(lower(text), 'rollb.*ed'))"""
+_LUCENE_PHRASE = """SELECT doc_id FROM documents WHERE contains(lower(text), 'ector index') AND n_chars >= 200 AND n_chars < 900"""
 
 
 def _query_vector(spark, sf):

@@ -171,12 +171,13 @@ def fulltext_relationships(spark, sf):
     e = table(spark, sf, "edge_suggestions").filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).groupBy(F.col("suggestion_id").alias("_rid")).agg(F.min("source_id").alias("_src"), F.min("target_id").alias("_dst"), F.min("reason").alias("reason"))
     g.add_rels("SUGGESTED", e, id="_rid")
     g.query("CREATE FULLTEXT INDEX reasons FOR ()-[r:SUGGESTED]-() ON EACH [r.reason]")
-    hits = g.query("CALL db.index.fulltext.queryRelationships('reasons', 'shared') YIELD relationship, score RETURN relationship, score")
-    return hits.select("relationship")
+    hits = g.query("CALL db.index.fulltext.queryRelationships('reasons', $q, {limit: 500}) YIELD relationship, score RETURN relationship, score", {"q": 'shared^2.5 OR /sess[a-z]+/ OR "ten close"^0.5'})
+    return hits.select("relationship", "score")
 
 
-_FULLTEXT_RELS = """WITH e AS (SELECT suggestion_id AS relationship, min(reason) AS text FROM edge_suggestions WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1)
-SELECT relationship FROM e WHERE """ + _TERM.format("shared")
+_FULLTEXT_RELS = f"""WITH e AS (SELECT suggestion_id AS relationship, lower(min(reason)) AS text FROM edge_suggestions WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1),
+s AS (SELECT relationship, CASE WHEN {_TERM.format("shared")} THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, 'sess[a-z]+') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'ten close') THEN 0.5 ELSE 0 END AS score FROM e)
+SELECT relationship, score FROM s WHERE score > 0 ORDER BY score DESC, relationship LIMIT 500"""
 
 
 def vector_nodes(spark, sf):
@@ -276,6 +277,11 @@ def lucene_slop(spark, sf):
     return d.filter(lucene.condition(lucene.parse('text:"index vector"~3'), {"text": F.col("text")})).select("doc_id")
 
 
+_SLOP = f"""WITH w AS (SELECT doc_id, {engine._WORDS} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+n AS (SELECT doc_id, list_position(w[i + 1:i + 4], 'vector') AS k FROM p WHERE w[i] = 'index')
+SELECT DISTINCT doc_id FROM n WHERE k > 0"""
+
+
 # -- the rest --------------------------------------------------------------------------------------------------------
 def functions(spark, sf):
     return build(spark, sf).query(
@@ -440,6 +446,7 @@ ALL: dict[str, tuple] = {
     "search_token_matches": (token_matches, _MATCHES),
     "search_lexical_seeds": (lexical_seeds, _SEEDS),
     "search_rescore": (rescore, _RESCORE),
+    "search_lucene_slop": (lucene_slop, _SLOP),
     "search_redact": (redact, _REDACT),
     "search_rerank": (rerank, "SELECT doc_id, length(text) AS score FROM documents WHERE text IS NOT NULL"),
     "cypher_functions": (functions, _FUNCTIONS),

@@ -1,7 +1,8 @@
 """The classic query syntax for full-text search, compiled to a boolean Column and a set of terms for scoring.
 
 Supported: terms, ``"phrases"~slop``, ``field:``, presence ``field:*``, wildcards ``* ?``, fuzzy ``term~n``, ``/regex/``, ranges
-``[a TO b] {a TO b}``, ``AND OR NOT && || !``, ``+ -`` and ``^boost``. Texts are compared as lower-case tokens.
+``[a TO b] {a TO b}``, ``AND OR NOT && || !``, ``+ -`` and ``^boost``. Everything is compared in lower case: terms, wildcards, fuzzy terms and phrases with a
+slop with the words of a field (letters, digits and underscores), plain phrases and regular expressions with any part of it, ranges with the whole.
 """
 
 from __future__ import annotations
@@ -110,11 +111,11 @@ def _atom(toks: list, k: int, field: str | None) -> tuple[Node, int]:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
 def _plain(text: str) -> list[str]:
-    return [t.lower() for t in re.findall(r"[^\W_]+", re.sub(r"\\(.)", r"\1", text))]
+    return [t.lower() for t in re.findall(r"\w+", re.sub(r"\\(.)", r"\1", text))]
 
 
 def _slop(words: Column, terms: list[str], slop: int) -> Column:
@@ -167,6 +168,9 @@ def _leaf(node: Node, c: Column) -> Column:
     words = _words(c)
     if node.kind == "exists":
         return c.isNotNull() & (c.cast("string") != "")
+    text = F.lower(c.cast("string"))
+    if node.kind == "phrase" and not node.number:
+        return F.contains(text, F.lit(re.sub(r"\\(.)", r"\1", node.text).lower())) if node.text else F.lit(False)
     if node.kind in ("term", "phrase"):
         terms = _plain(node.text)
         if not terms:
@@ -180,7 +184,7 @@ def _leaf(node: Node, c: Column) -> Column:
     if node.kind == "fuzzy":
         return F.exists(words, lambda w: F.levenshtein(w, F.lit(node.text.lower())) <= int(node.number))
     if node.kind == "regex":
-        return F.exists(words, lambda w: w.rlike(f"\\A(?:{node.text})\\z"))
+        return text.rlike(f"(?i){node.text}")
     low, high = re.match(r"[\[{]\s*(\S+)\s+TO\s+([^\s\]}]+)", node.text).groups()
     inc_low, inc_high = node.text[0] == "[", node.text[-1] == "]"
     number = all(v == "*" or re.fullmatch(r"[-+]?\d+(\.\d+)?", v) for v in (low, high))
@@ -193,6 +197,18 @@ def _leaf(node: Node, c: Column) -> Column:
     return out
 
 
+def score(node: Node, fields: dict[str, Column]) -> Column:
+    """The query's own score: 1 for each clause that matches, times its boost, summed over the clauses that are not excluded; null without a match."""
+    found = condition(node, fields)
+    if node.kind != "bool":
+        return F.when(found, F.lit(float(node.boost)))
+    total = F.lit(0.0)
+    for occur, n in node.clauses:
+        if occur != "not":
+            total = total + F.coalesce(score(n, fields), F.lit(0.0))
+    return F.when(found, total * F.lit(float(node.boost)))
+
+
 def positive_text(node: Node) -> str:
     """The words of all clauses that are not excluded, for scoring."""
     if node.kind == "bool":
