@@ -1,8 +1,7 @@
 """Link prediction: topology scores, their ensemble and a hybrid with semantic similarity.
 
 All scores come from two equi joins: the neighbours of the asked sources, then the neighbours of those. The sources are a stated set of
-queries against the whole graph; pairs between all nodes are never made, except by preferential attachment, which by definition scores
-every other node and is given per source as a top k.
+queries against the whole graph; pairs between all nodes are never made.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.session import checked_broadcast, cut
+
 #: Weights of the ensemble.
 ENSEMBLE = {"common_neighbors": 0.1, "jaccard": 0.2, "adamic_adar": 0.3, "resource_allocation": 0.25, "preferential_attachment": 0.15}
 
@@ -74,16 +75,18 @@ def predict(graph: DataFrame, sources: DataFrame, algorithm: str, k: int = 10) -
 
 
 def attachment(graph: DataFrame, sources: DataFrame, k: int = 10) -> DataFrame:
-    """Degree products with every node that is no neighbour: only the ``k + degree`` highest degrees can reach a source's top ``k``.
+    """Degree products with every node that is no neighbour: a source's top ``k`` are among the ``degree + k + 1`` nodes of the highest degrees.
 
-    The highest degrees go to all sources as one sorted list of bounded length, so no cross join over the nodes is made.
+    Each source asks for so many places of the one list in order of degree and joins them by place, so the rows are as many as the
+    relationships of the sources; the list is as long as the longest that is asked for.
     """
     deg = degrees(graph)
     asked = sources.join(deg.withColumnRenamed("id", "source"), "source")
     most = asked.agg(F.max("degree")).first()[0] or 0
     best = deg.orderBy(F.desc("degree"), "id").limit(int(most) + k + 1)
-    pairs = asked.crossJoin(F.broadcast(best.select(F.col("id").alias("target"), F.col("degree").alias("d")))) if most + k + 1 <= 100_000 else asked.crossJoin(best.select(F.col("id").alias("target"), F.col("degree").alias("d")))
-    pairs = pairs.filter(F.col("source") != F.col("target"))
+    placed = best.select(F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("place"), F.col("id").alias("target"), F.col("degree").alias("d"))
+    wanted = asked.select("source", "degree", F.explode(F.sequence(F.lit(1), (F.col("degree") + k + 1).cast("int"))).alias("place"))
+    pairs = wanted.join(checked_broadcast(cut(placed)), "place").filter(F.col("source") != F.col("target"))
     near = graph.select(F.col("a").alias("source"), F.col("b").alias("target"))
     pairs = pairs.join(near, ["source", "target"], "left_anti")
     return top(pairs.select("source", "target", (F.col("degree") * F.col("d")).cast("double").alias("score")), k)

@@ -100,6 +100,12 @@ class GraphCatalog:
 
         return run(self, text, params or {}, **options)
 
+    def record_access(self, ids: DataFrame) -> None:
+        """Apply the ON ACCESS parts of the promotion policies to the nodes and relationships of ``ids (_id)``."""
+        from graphweft.plans import mutate
+
+        mutate.record_access(self, ids)
+
 
 class Databases:
     """Named catalogs: ``SHOW DATABASES``, ``CREATE DATABASE x``, ``DROP DATABASE x``; other statements go to the named catalog."""

@@ -79,7 +79,7 @@ def policy_statement(comp, x: s.Schema) -> None:
     record = {"kind": x.kind, "options": given}
     if "on" in x.options:
         record |= {"on": x.options["on"], "labels": tuple(x.options["labels"]), "var": x.options.get("var")}
-        record |= {"rules": x.options["rules"], "overrides": {k: comp.constant(v) for k, v in x.options["overrides"].items()}, "on_access": [i.name for i in x.options["on_access"]]}
+        record |= {"rules": x.options["rules"], "overrides": {k: comp.constant(v) for k, v in x.options["overrides"].items()}, "on_access": list(x.options["on_access"])}
         missing = [p for p, _ in record["rules"] if p not in store]
         if missing:
             raise ConstraintError(f"profile {missing[0]} does not exist")

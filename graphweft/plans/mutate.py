@@ -363,3 +363,33 @@ def foreach(comp, clause: s.Foreach) -> None:
     for inner in clause.body:
         apply(comp, inner)
     comp.df, comp.scope = before, scope
+
+
+def record_access(catalog, ids: DataFrame) -> None:
+    """Apply the ON ACCESS parts of the promotion policies to the nodes and relationships of ``ids (_id)``: what reading them would have set.
+
+    Reads change nothing by themselves; accesses are collected (a log, a query's result) and recorded together, so that each table is
+    written once. An id that stands several times is one access.
+    """
+    from graphweft.plans.compiler import Bound, Compiler
+
+    target = catalog.version()
+    ids = settle(ids.select(F.col("_id").cast("string").alias("·a")).filter(F.col("`·a`").isNotNull()).distinct())
+    for record in catalog.policies.values():
+        if not isinstance(record, dict) or "POLICY" not in record.get("kind", "") or not record.get("on_access") or not record.get("options", {}).get("enabled", True):
+            continue
+        comp = Compiler(target, {})
+        var = record.get("var") or "n"
+        if record["on"] == "node":
+            tables = target.with_labels(tuple(record["labels"]))
+            if not tables:
+                continue
+            comp.needs.add(var)
+            comp.df = comp.node_frame(var, tables, True).join(ids, c(var, "_id") == F.col("`·a`"), "left_semi")
+            comp.scope = {var: Bound("node", tuple(tables), tuple(dict.fromkeys(p for t in tables for p in t.properties)), True)}
+        else:
+            comp.df = None
+            comp.clauses([s.Match((s.PathP((s.NodeP("·s", (), None), s.NodeP("·e", (), None)), (s.RelP(var, tuple(record["labels"]), "out"),)),), None, False)])
+            comp.df = comp.df.join(ids, c(var, "_id") == F.col("`·a`"), "left_semi")
+        _set(comp, [replace(i, var=var) for i in record["on_access"]], F.lit(True))
+    catalog.adopt(target)

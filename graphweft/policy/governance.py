@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphweft.session import checked_broadcast
+
 DAY_S = 86_400
 #: The policies of a new store: label, days, deletes what depends on it, category.
 DEFAULT_POLICIES = (
@@ -29,7 +31,7 @@ def sweep(records: DataFrame, policies: DataFrame, holds: DataFrame, now_s: int,
     """
     p = policies.filter("enabled").select("label", "max_age_seconds")
     held = holds.filter("active").select("subject").distinct().withColumn("_held", F.lit(True))
-    r = records.select("id", "label", "subject", "created_at_s").join(F.broadcast(p), "label")
+    r = records.select("id", "label", "subject", "created_at_s").join(checked_broadcast(p), "label")
     if batch is not None:
         r = r.orderBy("created_at_s", "id").limit(batch)
     r = r.join(held, "subject", "left")
@@ -59,6 +61,19 @@ def mask(df: DataFrame, rules: list[tuple[str, str, tuple[str, ...]]], role: str
     return df
 
 
+def obligations(df: DataFrame, rules: list[tuple[str, str, int | None]], labels: Column) -> DataFrame:
+    """Adds what the labels of a row oblige to: ``audit`` (a rule ``("audit", label, None)`` names one of them) and ``max_age_days``
+    (of the first rule ``("retention", label, days)`` that does; null if none). Null labels oblige to nothing."""
+    has = lambda label: F.coalesce(F.array_contains(labels, label), F.lit(False))
+    audit, days = F.lit(False), [F.lit(None).cast("int")]
+    for kind, label, value in rules:
+        if kind == "audit":
+            audit = audit | has(label)
+        elif kind == "retention":
+            days.insert(-1, F.when(has(label), F.lit(int(value))))
+    return df.withColumn("audit", audit).withColumn("max_age_days", F.coalesce(*days))
+
+
 def audit_counts(events: DataFrame, start: str, end: str) -> DataFrame:
     """Events per type and status within ``[start, end)``."""
     t = F.col("at")

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +104,9 @@ def hide(table, policy: KnowledgePolicy, names: tuple[str, ...], now_ms: int) ->
         try:
             df.select(F.expr(m.when))
             usable.append(m)
-        except Exception:  # noqa: BLE001
-            continue
+        except AnalysisException as e:
+            if e.getCondition() not in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
+                raise
     _, _, hidden = scores(df.withColumn("created_at_unix_ms", F.lit(None).cast("long")) if "created_at_unix_ms" not in have else df, Binding(b.labels, b.profile, tuple(usable), b.order), now_ms)
     return df.filter(~hidden)
 

@@ -18,7 +18,7 @@ from graphweft.queries import engine
 from graphweft.queries.graph import build
 from graphweft.queries.writes import shop
 from graphweft.search import fulltext, lucene, ranking
-from graphweft.session import shared_dir, table
+from graphweft.session import micros, shared_dir, table
 from graphweft.sources import graphfiles
 from graphweft.text import chunks
 
@@ -357,6 +357,53 @@ def access_stats(spark, sf):
     return knowledge.access_stats(table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"))).select("id", "access_count")
 
 
+def on_access(spark, sf):
+    """Every customer with an order is accessed, those with a negative balance twice, in two batches."""
+    g = shop(spark, sf)
+    g.query("CREATE DECAY PROFILE p OPTIONS { halfLifeSeconds: 60 }")
+    g.query("CREATE PROMOTION PROFILE up OPTIONS { multiplier: 1.5 }")
+    g.query("CREATE PROMOTION POLICY pp FOR (n:Customer) APPLY { ON ACCESS { SET n.seen = true SET n.hits = coalesce(n.hits, 0) + 1 } APPLY PROFILE up WHEN 'n.hits >= 1' }")
+    ids = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("_id"))
+    g.record_access(ids)
+    g.record_access(ids.join(table(spark, sf, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("_id")), "_id", "left_semi"))
+    return g.query("MATCH (c:Customer) RETURN c.key AS k, c.seen AS seen, c.hits AS hits")
+
+
+_ON_ACCESS = """SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN true END AS seen,
+CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END END AS hits FROM customer"""
+
+
+def obligations(spark, sf):
+    n = table(spark, sf, "nodes").select("id", "labels").distinct()
+    return governance.obligations(n, [("audit", "Person", None), ("retention", "Article", 30), ("retention", "Person", 90)], F.col("labels")).groupBy("audit", "max_age_days").agg(F.count("*").alias("n"))
+
+
+_OBLIGATIONS = """WITH n AS (SELECT DISTINCT id, labels FROM nodes)
+SELECT coalesce(list_contains(labels, 'Person'), false) AS audit, CASE WHEN list_contains(labels, 'Article') THEN 30 WHEN list_contains(labels, 'Person') THEN 90 END AS max_age_days, count(*) AS n FROM n GROUP BY 1, 2"""
+
+
+def hydrate(spark, sf):
+    d = table(spark, sf, "documents")
+    hits = d.select(F.col("doc_id").alias("id"), F.lit("Document").alias("label"), F.array(F.when(F.col("doc_id") % 7 == 0, "vector").otherwise("bm25")).alias("sources"))
+    entities = d.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.array("doc_type").alias("labels"), F.struct(F.length("text").alias("n"), F.struct("lang").alias("meta")).alias("body"), "source")
+    out = ranking.hydrate(hits, entities, ["chat"], ["vector"], ["body.meta.lang", "source", "nothing"])
+    return out.select("id", F.col("labels")[0].alias("label"), F.col("body.n").alias("n"), F.col("body.meta.lang").alias("lang"), "source")
+
+
+_HYDRATE = """SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'Document' ELSE doc_type END AS label, CASE WHEN doc_id % 5 <> 0 THEN length(text) END AS n, NULL::VARCHAR AS lang, NULL::VARCHAR AS source
+FROM documents WHERE doc_id % 7 <> 0 AND NOT coalesce(doc_id % 5 <> 0 AND doc_type = 'chat', false)"""
+
+
+def suggestions(spark, sf):
+    s = table(spark, sf, "edge_suggestions")
+    r = s.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relationship_type").alias("rel_type"), F.col("confidence").alias("score"), F.to_date("suggested_at").alias("session"), F.floor(micros(F.col("suggested_at")) / 1000).alias("at_ms"))
+    return signals.suggestions(r).select("source", "target", "rel_type", F.round("confidence", 7).alias("confidence"), "signals", "first_seen_ms", "last_seen_ms")
+
+
+_SUGGESTIONS = """WITH r AS (SELECT DISTINCT source_id AS source, target_id AS target, relationship_type AS rel_type, confidence, epoch_us(suggested_at) // 1000 AS t FROM edge_suggestions WHERE confidence IS NOT NULL AND NOT isnan(confidence) AND source_id <> target_id)
+SELECT source, target, rel_type, round(least(1.0, avg(confidence)), 7) AS confidence, count(*) AS signals, min(t) AS first_seen_ms, max(t) AS last_seen_ms FROM r GROUP BY 1, 2, 3"""
+
+
 def vector_operators(spark, sf):
     e = table(spark, sf, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -456,6 +503,10 @@ ALL: dict[str, tuple] = {
     "policy_defaults": (default_policies, _DEFAULTS),
     "policy_audit_chain": (audit_chain, _AUDIT_CHAIN),
     "policy_access_stats": (access_stats, "SELECT user_id AS id, count(*) AS access_count FROM events GROUP BY 1"),
+    "policy_on_access": (on_access, _ON_ACCESS),
+    "policy_obligations": (obligations, _OBLIGATIONS),
+    "search_hydrate": (hydrate, _HYDRATE),
+    "signal_suggestions": (suggestions, _SUGGESTIONS),
     "vector_operators": (vector_operators, _VECTORS),
     "links_normalised": (score_normalisation, _NORMALISED),
     "links_hybrid": (link_hybrid, _HYBRID),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft.functions.scalars import cosine, euclidean
 from graphweft.session import ship
@@ -95,3 +96,29 @@ def redact(hits: DataFrame, labels: Column, denied: list[str], columns: list[str
     for c in columns:
         hits = hits.withColumn(c, F.when(~F.coalesce(bad, F.lit(False)), F.col(c)))
     return hits
+
+
+def hydrate(hits: DataFrame, entities: DataFrame, denied_labels: list[str] = (), denied_sources: list[str] = (), redacted: list[str] = (), require: bool = False) -> DataFrame:
+    """``hits (id, label, sources, ...)`` with the ``labels`` and other columns of ``entities (id, labels, ...)``.
+
+    Hits with a denied label or source are left out, as are those without an entity if one is required; without one the label of the hit counts.
+    ``redacted`` names columns, or fields of struct columns by path, that become null; what is not there is ignored. Of repeated entities any counts.
+    """
+    out = hits.join(entities.dropDuplicates(["id"]), "id", "inner" if require else "left")
+    labels = F.coalesce("labels", F.array("label"))
+    none = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    out = out.withColumn("labels", labels).filter(~F.coalesce(F.arrays_overlap("labels", none(denied_labels)), F.lit(False)) & ~F.coalesce(F.arrays_overlap("sources", none(denied_sources)), F.lit(False)))
+    for path in redacted:
+        column, _, rest = path.partition(".")
+        if column not in out.columns or column in hits.columns:
+            continue
+        kind = out.schema[column].dataType
+        try:
+            field = T.StructType([out.schema[column]])
+            for part in path.split("."):
+                field = field[part].dataType
+        except (KeyError, TypeError):
+            continue
+        empty = F.lit(None).cast(field)
+        out = out.withColumn(column, F.col(column).withField(rest, empty) if rest else F.lit(None).cast(kind))
+    return out
