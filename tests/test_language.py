@@ -19,25 +19,25 @@ def rows(g, text, **params):
 def social(spark):
     g = GraphCatalog.empty(spark)
     g.add_nodes("Person", spark.createDataFrame([(str(k), n, a) for k, n, a in [(1, "Ann", 30), (2, "Bob", None), (3, "Cat", 25), (4, "Dan", 41)]], "_id string, name string, age long"))
-    g.add_rels("FOLLOWS", spark.createDataFrame([("e1", "1", "2", 5), ("e2", "2", "1", 3), ("e3", "3", "1", None), ("e4", "4", "1", 2), ("e5", "1", "3", 9)], "_rid string, _src string, _dst string, w long"), id="_rid")
+    g.add_rels("TRUSTS", spark.createDataFrame([("e1", "1", "2", 5), ("e2", "2", "1", 3), ("e3", "3", "2", None), ("e4", "4", "3", 2), ("e5", "2", "3", 9)], "_rid string, _src string, _dst string, w long"), id="_rid")
     return g
 
 
 @pytest.fixture(scope="module")
 def retail(spark):
     g = GraphCatalog(spark)
-    g.add_nodes("Product", spark.createDataFrame([(1, "Alpha", 10.0), (2, "Beta", 5.0), (3, "Charlie", 1.0)], "id long, productName string, unitPrice double"), "id")
+    g.add_nodes("Product", spark.createDataFrame([(1, "Lamp", 6.0), (2, "Nail", 0.5), (3, "Rope", 4.0)], "id long, name string, price double"), "id")
     g.add_nodes("Order", spark.createDataFrame([(1,), (2,)], "id long"), "id")
-    g.add_rels("ORDERS", spark.createDataFrame([(1, 1, 2), (2, 1, 3), (2, 2, 4)], "o long, p long, quantity int"), "o", "p", "Order", "Product")
+    g.add_rels("ORDERS", spark.createDataFrame([(1, 1, 5), (2, 1, 3), (2, 2, 40)], "o long, p long, quantity int"), "o", "p", "Order", "Product")
     return g
 
 
 def test_optional_match_keeps_zero_rows(retail):
-    assert rows(retail, "MATCH (p:Product) OPTIONAL MATCH (p)<-[r:ORDERS]-(o:Order) RETURN p.productName AS n, count(o) AS k ORDER BY k DESC, n") == [("Alpha", 2), ("Beta", 1), ("Charlie", 0)]
+    assert rows(retail, "MATCH (p:Product) OPTIONAL MATCH (p)<-[r:ORDERS]-(o:Order) RETURN p.name AS n, count(o) AS k ORDER BY k DESC, n") == [("Lamp", 2), ("Nail", 1), ("Rope", 0)]
 
 
 def test_revenue_by_product(retail):
-    assert rows(retail, "MATCH (p:Product)<-[r:ORDERS]-(:Order) WITH p, sum(p.unitPrice * r.quantity) AS revenue RETURN p.productName AS n, revenue ORDER BY revenue DESC") == [("Alpha", 50.0), ("Beta", 20.0)]
+    assert rows(retail, "MATCH (p:Product)<-[r:ORDERS]-(:Order) WITH p, sum(p.price * r.quantity) AS revenue RETURN p.name AS n, revenue ORDER BY revenue DESC") == [("Lamp", 48.0), ("Nail", 20.0)]
 
 
 def test_aggregates_and_identity(spark):
@@ -48,17 +48,17 @@ def test_aggregates_and_identity(spark):
 
 
 def test_mutual_and_homomorphism(social):
-    assert rows(social, "MATCH (a:Person)-[:FOLLOWS]->(b)-[:FOLLOWS]->(a) WHERE a.name < b.name RETURN a.name AS a, b.name AS b ORDER BY b") == [("Ann", "Bob"), ("Ann", "Cat")]
-    assert rows(social, "MATCH (a)-[r]->(b)<-[s]-(c) RETURN count(*) AS n") == [(11,)]
-    assert social.query("MATCH (a)-[r]->(b)<-[s]-(c) RETURN count(*) AS n", unique_rels=True).first()[0] == 6
+    assert rows(social, "MATCH (a:Person)-[:TRUSTS]->(b)-[:TRUSTS]->(a) WHERE a.name < b.name RETURN a.name AS a, b.name AS b ORDER BY b") == [("Ann", "Bob"), ("Bob", "Cat")]
+    assert rows(social, "MATCH (a)-[r]->(b)<-[s]-(c) RETURN count(*) AS n") == [(9,)]
+    assert social.query("MATCH (a)-[r]->(b)<-[s]-(c) RETURN count(*) AS n", unique_rels=True).first()[0] == 4
 
 
 def test_variable_length_and_paths(social):
-    assert rows(social, "MATCH (a:Person {name: 'Dan'})-[:FOLLOWS*1..3]->(x) RETURN x.name AS x ORDER BY x") == [("Ann",), ("Bob",), ("Cat",)]
-    assert rows(social, "MATCH p = (a:Person {name: 'Dan'})-[:FOLLOWS*2]->(x) RETURN x.name AS x, length(p) AS l ORDER BY x") == [("Bob", 2), ("Cat", 2)]
-    assert rows(social, "MATCH (a:Person {name: 'Dan'}), (b:Person {name: 'Bob'}) MATCH p = shortestPath((a)-[:FOLLOWS*]->(b)) RETURN length(p) AS l, [n IN nodes(p) | n._id] AS n") == [(2, ["4", "1", "2"])]
-    assert rows(social, "MATCH (a:Person {name: 'Bob'}), (b:Person {name: 'Dan'}) MATCH p = shortestPath((a)-[:FOLLOWS*]->(b)) RETURN p") == []
-    assert rows(social, "MATCH (a:Person {name: 'Dan'})-[:FOLLOWS*0..1]->(x) RETURN count(*) AS n") == [(2,)]
+    assert rows(social, "MATCH (a:Person {name: 'Dan'})-[:TRUSTS*1..3]->(x) RETURN x.name AS x ORDER BY x") == [("Ann",), ("Bob",), ("Cat",)]
+    assert rows(social, "MATCH p = (a:Person {name: 'Dan'})-[:TRUSTS*2]->(x) RETURN x.name AS x, length(p) AS l ORDER BY x") == [("Bob", 2)]
+    assert rows(social, "MATCH (a:Person {name: 'Dan'}), (b:Person {name: 'Bob'}) MATCH p = shortestPath((a)-[:TRUSTS*]->(b)) RETURN length(p) AS l, [n IN nodes(p) | n._id] AS n") == [(2, ["4", "3", "2"])]
+    assert rows(social, "MATCH (a:Person {name: 'Bob'}), (b:Person {name: 'Dan'}) MATCH p = shortestPath((a)-[:TRUSTS*]->(b)) RETURN p") == []
+    assert rows(social, "MATCH (a:Person {name: 'Dan'})-[:TRUSTS*0..1]->(x) RETURN count(*) AS n") == [(2,)]
 
 
 def test_all_shortest_paths_keeps_equal_routes(spark):
@@ -78,18 +78,18 @@ def test_two_valued_logic(social):
 
 
 def test_exists_patterns_and_comprehensions(social):
-    assert rows(social, "MATCH (p:Person) WHERE (p)-[:FOLLOWS]->(:Person {name: 'Ann'}) RETURN p.name AS n ORDER BY n") == [("Bob",), ("Cat",), ("Dan",)]
-    assert rows(social, "MATCH (p:Person) WHERE NOT (p)<-[:FOLLOWS]-() RETURN p.name AS n") == [("Dan",)]
-    assert rows(social, "MATCH (p:Person) WHERE EXISTS { (p)<-[:FOLLOWS]-(q) WHERE q.age > 40 } OR p.name = 'Cat' RETURN p.name AS n ORDER BY n") == [("Ann",), ("Cat",)]
-    got = rows(social, "MATCH (p:Person) RETURN p.name AS n, [(p)<-[:FOLLOWS]-(q) WHERE q.age > 26 | q.name] AS l ORDER BY n")
-    assert [(n, sorted(x)) for n, x in got] == [("Ann", ["Dan"]), ("Bob", ["Ann"]), ("Cat", ["Ann"]), ("Dan", [])]
+    assert rows(social, "MATCH (p:Person) WHERE (p)-[:TRUSTS]->(:Person {name: 'Ann'}) RETURN p.name AS n ORDER BY n") == [("Bob",)]
+    assert rows(social, "MATCH (p:Person) WHERE NOT (p)<-[:TRUSTS]-() RETURN p.name AS n") == [("Dan",)]
+    assert rows(social, "MATCH (p:Person) WHERE EXISTS { (p)<-[:TRUSTS]-(q) WHERE q.age > 40 } OR p.name = 'Ann' RETURN p.name AS n ORDER BY n") == [("Ann",), ("Cat",)]
+    got = rows(social, "MATCH (p:Person) RETURN p.name AS n, [(p)<-[:TRUSTS]-(q) WHERE q.age > 26 | q.name] AS l ORDER BY n")
+    assert [(n, sorted(x)) for n, x in got] == [("Ann", []), ("Bob", ["Ann"]), ("Cat", ["Dan"]), ("Dan", [])]
 
 
 def test_subquery_union_and_procedures(social):
-    assert rows(social, "MATCH (p:Person) CALL { WITH p MATCH (p)<-[:FOLLOWS]-(q) RETURN count(q) AS k } RETURN p.name AS n, k ORDER BY n")[:2] == [("Ann", 3), ("Bob", 1)]
+    assert rows(social, "MATCH (p:Person) CALL { WITH p MATCH (p)<-[:TRUSTS]-(q) RETURN count(q) AS k } RETURN p.name AS n, k ORDER BY n")[:2] == [("Ann", 1), ("Bob", 2)]
     assert rows(social, "CALL { RETURN 1 AS x UNION RETURN 1 AS x } RETURN count(*) AS n") == [(1,)]
     assert rows(social, "CALL { RETURN 1 AS x UNION ALL RETURN 1 AS x } RETURN count(*) AS n") == [(2,)]
-    assert rows(social, "CALL db.relationshipTypes()") == [("FOLLOWS",)]
+    assert rows(social, "CALL db.relationshipTypes()") == [("TRUSTS",)]
     with pytest.raises(CompileError):
         social.query("CALL no.such()")
 
@@ -214,12 +214,12 @@ def test_decay_statements_hide_stale_nodes_and_relationships(spark):
 
 
 def test_relationships_are_aggregated_before_the_join(retail, social):
-    plan = retail.query("EXPLAIN MATCH (p:Product)<-[r:ORDERS]-(o:Order) RETURN p.productName AS n, count(o) AS k, avg(r.quantity) AS a").first()[0]
+    plan = retail.query("EXPLAIN MATCH (p:Product)<-[r:ORDERS]-(o:Order) RETURN p.name AS n, count(o) AS k, avg(r.quantity) AS a").first()[0]
     tree = plan.split("\n\n")[0]
     assert tree.index("Join") < tree.rindex("HashAggregate")  # one aggregation lies below the join
-    q = "MATCH (p:Product)<-[r:ORDERS]-(o:Order) RETURN p.productName AS n, count(o) AS k, sum(r.quantity) AS s, avg(r.quantity) AS a, min(r.quantity) AS lo, max(r.quantity) AS hi, count(*) + 1 AS c ORDER BY k DESC"
-    assert rows(retail, q) == [("Alpha", 2, 5.0, 2.5, 2.0, 3.0, 3), ("Beta", 1, 4.0, 4.0, 4.0, 4.0, 2)]
-    assert rows(social, "MATCH (a:Person)<-[r:FOLLOWS]-(b) RETURN a.name AS a, avg(r.w) AS m, count(r.w) AS n ORDER BY a") == [("Ann", 2.5, 2), ("Bob", 5.0, 1), ("Cat", 9.0, 1)]
-    assert rows(social, "MATCH (a:Person)-[r:FOLLOWS]-(b) RETURN a.age > 26 AS k, count(b) AS n ORDER BY k") == [(False, 4), (True, 6)]
-    assert rows(social, "MATCH (a:Person {name: 'Ann'})<-[r:FOLLOWS]-(b) WITH a, count(b) AS n WHERE n > 1 RETURN a.name AS a, n") == [("Ann", 3)]
-    assert rows(social, "MATCH (a:Person)<-[r:FOLLOWS]-(b) RETURN a.name AS a, collect(b.name) AS l ORDER BY a")[1:] == [("Bob", ["Ann"]), ("Cat", ["Ann"])]
+    q = "MATCH (p:Product)<-[r:ORDERS]-(o:Order) RETURN p.name AS n, count(o) AS k, sum(r.quantity) AS s, avg(r.quantity) AS a, min(r.quantity) AS lo, max(r.quantity) AS hi, count(*) + 1 AS c ORDER BY k DESC"
+    assert rows(retail, q) == [("Lamp", 2, 8.0, 4.0, 3.0, 5.0, 3), ("Nail", 1, 40.0, 40.0, 40.0, 40.0, 2)]
+    assert rows(social, "MATCH (a:Person)<-[r:TRUSTS]-(b) RETURN a.name AS a, avg(r.w) AS m, count(r.w) AS n ORDER BY a") == [("Ann", 3.0, 1), ("Bob", 5.0, 1), ("Cat", 5.5, 2)]
+    assert rows(social, "MATCH (a:Person)-[r:TRUSTS]-(b) RETURN a.age > 26 AS k, count(b) AS n ORDER BY k") == [(False, 7), (True, 3)]
+    assert rows(social, "MATCH (a:Person {name: 'Bob'})<-[r:TRUSTS]-(b) WITH a, count(b) AS n WHERE n > 1 RETURN a.name AS a, n") == [("Bob", 2)]
+    assert rows(social, "MATCH (a:Person)<-[r:TRUSTS]-(b) RETURN a.name AS a, collect(b.name) AS l ORDER BY a")[:1] == [("Ann", ["Bob"])]
