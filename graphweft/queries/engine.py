@@ -154,7 +154,16 @@ FROM (SELECT event_id, value / 100 AS w, ({NOW_MS}000 - epoch_us(ts)) / 1e6 AS a
 
 def kalman(spark, sf):
     e = table(spark, sf, "events").select("user_id", (micros(F.col("ts")) / 1e6).alias("at_s"), F.col("value").alias("observed"))
-    return knowledge.kalman(e, "user_id")
+    return knowledge.kalman(e, "user_id").select("user_id", F.round("weight", 5).alias("weight"), F.round("decay_rate", 7).alias("decay_rate"))
+
+
+_KALMAN = """WITH e AS (SELECT user_id, list({t: epoch_us(ts) / 1e6, z: value} ORDER BY ts, value) AS l FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1),
+i AS (SELECT user_id, list_prepend({t: l[1].t, z: 0::DOUBLE, x: 0.5::DOUBLE, y: 0::DOUBLE, a: 1::DOUBLE, b: 0::DOUBLE, c: 0::DOUBLE, d: 1::DOUBLE}, list_transform(l, lambda o: {t: o.t, z: o.z, x: 0::DOUBLE, y: 0::DOUBLE, a: 0::DOUBLE, b: 0::DOUBLE, c: 0::DOUBLE, d: 0::DOUBLE})) AS l FROM e),
+k AS (SELECT user_id, list_reduce(l, lambda s, o: list_transform(list_transform(list_transform([{f: exp(-s.y * (o.t - s.t))}],
+  lambda m: {x: s.x * m.f, a: s.a * m.f * m.f + 1e-4, b: s.b * m.f, c: s.c * m.f, d: s.d + 1e-4}),
+  lambda p: {p: p, g: p.a / (p.a + 0.01), h: p.c / (p.a + 0.01)}),
+  lambda u: {t: o.t, z: o.z, x: u.p.x + u.g * (o.z - u.p.x), y: greatest(s.y + u.h * (o.z - u.p.x), 0), a: (1 - u.g) * u.p.a, b: (1 - u.g) * u.p.b, c: u.p.c - u.h * u.p.a, d: u.p.d - u.h * u.p.b})[1]) AS s FROM i)
+SELECT user_id, round(s.x, 5) AS weight, round(s.y, 7) AS decay_rate FROM k"""
 
 
 def valid_time(spark, sf):
@@ -239,6 +248,18 @@ def link_ensemble(spark, sf):
     return links.ensemble(g, q, 5).select("source", "target", F.round("score", 6).alias("score"), "rank")
 
 
+_ENSEMBLE = (
+    _LINKS
+    + """, raw AS (SELECT source, target, c::DOUBLE AS cn, c / (s.d + u.d - c) AS ja, aa, ra FROM t JOIN d s ON s.id = source JOIN d u ON u.id = target WHERE NOT EXISTS (SELECT 1 FROM g WHERE a = source AND b = target)),
+p AS (SELECT q.id AS source, d.id AS target, CAST(s.d * d.d AS DOUBLE) AS s FROM q JOIN d s ON s.id = q.id, d WHERE d.id <> q.id AND NOT EXISTS (SELECT 1 FROM g WHERE a = q.id AND b = d.id)),
+x AS (SELECT source, target, cn AS s, 0.1 AS w FROM raw UNION ALL SELECT source, target, ja, 0.2 FROM raw UNION ALL SELECT source, target, aa, 0.3 FROM raw UNION ALL SELECT source, target, ra, 0.25 FROM raw UNION ALL SELECT source, target, s, 0.15 FROM p),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, w ORDER BY s DESC, target) AS r FROM x) WHERE r <= 5),
+m AS (SELECT source, target, w * CASE WHEN max(s) OVER v = min(s) OVER v THEN 1 ELSE (s - min(s) OVER v) / (max(s) OVER v - min(s) OVER v) END AS s FROM k WINDOW v AS (PARTITION BY source, w)),
+f AS (SELECT source, target, sum(s) AS s FROM m GROUP BY 1, 2)
+SELECT * FROM (SELECT source, target, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY source ORDER BY s DESC, target) AS INTEGER) AS rank FROM f) WHERE rank <= 5"""
+)
+
+
 def _log(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("node"), F.floor(micros(F.col("ts")) / 1000).alias("at_ms"))
 
@@ -308,6 +329,14 @@ def chunk_tokens(spark, sf):
     return chunks.by_tokens(table(spark, sf, "documents"), "doc_id", "text", 100, 10).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+_SENTENCES = """WITH d AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+'), lambda s: {n: 0, have: length(s)}) AS l FROM documents WHERE length(text) > 0)
+SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN a.have > 0 AND a.have + b.have > 300 THEN {n: a.n + 1, have: b.have} ELSE {n: a.n, have: a.have + b.have} END).n + 1 AS n, length(text) AS chars FROM d"""
+_SPACES = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+#: Chunks begin 90 words apart.
+_TOKEN_CHUNKS = f"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda x: x <> '')) AS n FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(CASE WHEN n <= 100 THEN 1 ELSE 1 + ceil((n - 100) / 90.0) END AS BIGINT) AS n FROM w"""
+
+
 def entity_text(spark, sf):
     c = table(spark, sf, "customer")
     return c.select("c_custkey", chunks.entity_text(F.array(F.lit("Customer")), {"name": F.col("c_name"), "segment": F.col("c_mktsegment")}).alias("t"))
@@ -327,7 +356,7 @@ ALL: dict[str, tuple] = {
     "search_mmr": (mmr, None),
     "policy_decay": (decay, _DECAY),
     "policy_weight_decay": (weight_decay, _WEIGHT),
-    "policy_kalman": (kalman, None),
+    "policy_kalman": (kalman, _KALMAN),
     "policy_valid_time": (valid_time, _VALID),
     "policy_retention": (retention, _RETENTION),
     "policy_audit_windows": (audit_windows, _AUDIT),
@@ -335,15 +364,15 @@ ALL: dict[str, tuple] = {
     "links_topology": (link_topology, _TOPOLOGY),
     "links_top": (link_top, _LINK_TOP),
     "links_attachment": (link_attachment, _ATTACH),
-    "links_ensemble": (link_ensemble, None),
+    "links_ensemble": (link_ensemble, _ENSEMBLE),
     "signal_co_access": (co_access, _CO),
     "signal_temporal": (temporal_signal, _TEMPORAL),
     "signal_transitive": (transitive, _TRANSITIVE),
     "signal_evidence": (evidence, _EVIDENCE),
     "signal_similarity": (similarity_signal, _SIMILAR),
     "text_chunk_chars": (chunk_chars, _CHUNKS),
-    "text_chunk_sentences": (chunk_sentences, None),
-    "text_chunk_tokens": (chunk_tokens, None),
+    "text_chunk_sentences": (chunk_sentences, _SENTENCES),
+    "text_chunk_tokens": (chunk_tokens, _TOKEN_CHUNKS),
     "text_entity": (entity_text, _ENTITY),
 }
 

@@ -219,8 +219,11 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "MATCH (o:Order)-[r:CONTAINS {l_returnflag: 'R'}]->(p:Part) WHERE r.l_quantity >= 45 RETURN o.o_orderkey AS o, p.p_partkey AS p, r.l_quantity AS q",
         "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45",
     ),
-    "cypher_schema_procedures": ("CALL db.schema.visualization() YIELD source, relType, target RETURN source, relType, target", None),
-    "cypher_property_keys": ("CALL db.schema.nodeProperties() YIELD nodeType, propertyName, propertyType RETURN nodeType, propertyName, propertyType", None),
+    "cypher_schema_procedures": ("CALL db.schema.visualization() YIELD source, relType, target RETURN source, relType, target",
+        "SELECT * FROM (VALUES ('Customer', 'FROM_NATION', 'Nation'), ('Customer', 'PLACED', 'Order'), ('Nation', 'IN_REGION', 'Region'), ('Order', 'CONTAINS', 'Part'), ('Supplier', 'SUPPLIER_NATION', 'Nation'), ('Supplier', 'SUPPLIES', 'Part')) t(source, \"relType\", target)"),
+    "cypher_property_keys": ("CALL db.schema.nodeProperties() YIELD nodeType, propertyName, propertyType RETURN nodeType, propertyName, propertyType",
+        """SELECT l AS "nodeType", column_name AS "propertyName", CASE WHEN data_type LIKE '%[]' THEN 'LIST' WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'INTEGER' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'FLOAT' WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN' ELSE 'STRING' END AS "propertyType"
+        FROM information_schema.columns JOIN (VALUES ('region', 'Region'), ('nation', 'Nation'), ('customer', 'Customer'), ('supplier', 'Supplier'), ('part', 'Part'), ('orders', 'Order'), ('events', 'Event'), ('documents', 'Document'), ('embeddings', 'Vector')) t(n, l) ON table_name = n"""),
 }
 
 #: The same over the store's own tables, whose references may not hold.
