@@ -38,6 +38,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY tbl, group_key ORDER BY score DE
 SELECT tbl, group_key, item_id FROM r WHERE r <= 5
 """
 
+#: Every usable vector, and the ten most similar of each by comparing all with all (for small tables).
+_VECTORS = """
+WITH e AS (SELECT 'vector_entries' AS field, space, id, arg_max({v: vector, d: dimensions}, (updated_at, entry_id)) AS x FROM vector_entries WHERE id IS NOT NULL AND space IS NOT NULL GROUP BY ALL),
+n AS (SELECT id, arg_max({n: named_embeddings, c: chunk_embeddings}, (created_at_unix_ms, updated_at_unix_ms)) AS x FROM nodes WHERE id IS NOT NULL AND (cardinality(named_embeddings) > 0 OR len(chunk_embeddings) > 0) GROUP BY 1),
+m AS (SELECT id, unnest(map_entries(x.n)) AS y FROM n), c AS (SELECT id, x.c AS c, unnest(range(1, len(x.c) + 1)) AS i FROM n),
+a AS (SELECT field, space, id, x.v AS v, x.d AS d FROM e UNION ALL SELECT 'named_embeddings', y.key, id, y.value, 96 FROM m UNION ALL SELECT 'chunk_embeddings', '', id || '#' || (i - 1), c[i], 96 FROM c),
+u AS (SELECT field, space, id, CAST(v AS DOUBLE[]) AS v FROM a WHERE len(v) = d AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+"""
+_P5 = _VECTORS + """p AS (SELECT a.field, a.space, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.field = b.field AND a.space = b.space AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY field, space, a ORDER BY s DESC, b) AS r FROM p)
+SELECT DISTINCT field, space, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 10 AND s >= 0.8"""
+_NEAREST = _VECTORS + """p AS (SELECT a.field, a.space, a.id, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.field = b.field AND a.space = b.space AND a.id <> b.id WHERE TRY_CAST(regexp_extract(a.id, 'node-([0-9]+)', 1) AS BIGINT) % 100 = 0)
+SELECT field, space, id, neighbour, round(s, 5) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY field, space, id ORDER BY s DESC, neighbour) AS r FROM p) WHERE r <= 10"""
+
 
 def queries() -> dict:
     return {
@@ -60,4 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1 + _RANK + "SELECT source_id, target_id FROM r WHERE r <= 10",
         "p1_leximin": _P1X + _RANK + "SELECT source_id, target_id, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 10",
         "p3_found": _P3,
+        "p5_found": _P5,
+        "p5_nearest": _NEAREST,
     }

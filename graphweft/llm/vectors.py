@@ -490,4 +490,4 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors for every vector whose node number is divisible by 100, against all vectors."""
     v = cut(collections(spark, sf_dir))
     number = F.regexp_extract("id", r"node-([0-9]+)", 1).try_cast("long")
-    return nearest(v, v.filter(number % 100 == 0))
+    return nearest(v, v.filter(number % 100 == 0)).withColumn("similarity", F.round("similarity", 5))
