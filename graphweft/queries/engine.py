@@ -281,12 +281,12 @@ _TEMPORAL = _LOG.format(w=600_000) + " SELECT s AS source, d AS target, round(ma
 
 
 def transitive(spark, sf):
-    s = table(spark, sf, "edge_suggestions").filter((F.col("relationship_type") == "RELATES_TO") & ~F.isnan("confidence"))
+    s = table(spark, sf, "edge_suggestions").filter(~F.isnan("confidence"))
     e = s.groupBy(F.col("source_id").alias("source"), F.col("target_id").alias("target")).agg(F.max("confidence").alias("confidence"))
     return signals.transitive(e, 0.5).select("source", "via", "target", F.round("confidence", 6).alias("confidence"))
 
 
-_TRANSITIVE = """WITH e AS (SELECT source_id AS s, target_id AS t, max(confidence) AS c FROM edge_suggestions WHERE relationship_type = 'RELATES_TO' AND confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY 1, 2)
+_TRANSITIVE = """WITH e AS (SELECT source_id AS s, target_id AS t, max(confidence) AS c FROM edge_suggestions WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY 1, 2)
 SELECT x.s AS source, x.t AS via, y.t AS target, round(x.c * y.c, 6) AS confidence FROM e x JOIN e y ON x.t = y.s WHERE x.s <> y.t AND x.c * y.c >= 0.5"""
 
 

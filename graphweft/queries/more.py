@@ -20,6 +20,7 @@ from graphweft.queries.writes import shop
 from graphweft.search import fulltext, lucene, ranking
 from graphweft.session import micros, shared_dir, table
 from graphweft.sources import graphfiles
+from graphweft.streaming import access
 from graphweft.text import chunks
 
 
@@ -472,7 +473,39 @@ def batch_nearest(spark, sf):
 
 _BATCH = f"""SELECT id, n, round(s, 5) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS n, {engine._COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {engine._COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE r = 1"""
 
+def extensions(spark, sf):
+    """A function and a procedure of the user."""
+    g = build(spark, sf)
+    g.functions["twice"] = lambda c: c.a(0) * 2
+    g.procedures["my.segments"] = lambda comp, prefix: comp.catalog.query("MATCH (c:Customer) RETURN DISTINCT c.c_mktsegment AS segment").filter(F.startswith("segment", F.lit(prefix)))
+    return g.query("CALL my.segments('M') YIELD segment WITH segment MATCH (c:Customer) WHERE c.c_mktsegment = segment RETURN segment, count(c) AS customers, twice(count(c)) AS twice")
+
+
+_EXTENSIONS = "SELECT c_mktsegment AS segment, count(*) AS customers, 2 * count(*) AS twice FROM customer WHERE starts_with(c_mktsegment, 'M') GROUP BY 1"
+
+
+def _streamed(make, keys: list[str]):
+    """The events as a stream, read to the end; the last count of each key."""
+
+    def run(spark, sf):
+        folder = _folder(spark)
+        whole = table(spark, sf, "events")
+        source = f"{folder}/in"
+        whole.select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(source)
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        out = f"{folder}/out"
+        q = make(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(out).groupBy(*keys).agg(F.max("events").alias("events"))
+
+    return run
+
+
+_WINDOWS = "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_s, event_type, count(*) AS events FROM events GROUP BY 1, 2"
+
 ALL: dict[str, tuple] = {
+    "extensions": (extensions, _EXTENSIONS),
+    "stream_windowed_counts": (_streamed(lambda e: access.windowed_counts(e, "ts", ["event_type"]).select(F.col("window_start").cast("long").alias("window_s"), "event_type", "events"), ["window_s", "event_type"]), _WINDOWS),
     "import_csv": (_imported("none"), _IMPORTED),
     "import_gzip": (_imported("gzip"), _IMPORTED),
     "import_zip": (import_zip, "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation"),
