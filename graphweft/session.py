@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 _shipped: dict[str, str] = {}
+_tables: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,20 +72,39 @@ def settle(df: DataFrame) -> DataFrame:
     if not df.columns:
         return cut(df)
     plain = df.select(*[F.col(f"`{n}`").cast("string").alias(n) if t == "void" else F.col(f"`{n}`") for n, t in df.dtypes])
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/graphweft-tables/{uuid.uuid4().hex}"
+    path = f"{_tables_of(df.sparkSession)}/{uuid.uuid4().hex}"
     plain.write.parquet(path)
     out = df.sparkSession.read.schema(plain.schema).parquet(path)
     out.settled_at = path
     return out
 
 
+def _tables_of(spark: SparkSession) -> str:
+    """The folder of this application's settled tables; no frame outlives the application, so they are deleted when it ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _tables:
+        _tables[app] = f"{shared_dir(spark).rstrip('/')}/graphweft-tables/{app}"
+        atexit.register(_drop, spark, _tables[app])
+    return _tables[app]
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a settled frame that nothing will read any more: all that was made from it is written."""
     path = getattr(df, "settled_at", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
