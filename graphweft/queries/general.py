@@ -32,6 +32,15 @@ r AS (SELECT *, CASE WHEN broken THEN 'quoting' WHEN len(f) <> len(h) THEN 'fiel
 """
 _P4 = _LINES + "SELECT DISTINCT source_id, row_number FROM r WHERE reason IS NOT NULL"
 _P4_REASONS = _LINES + ", o AS (SELECT source_id, row_number, min(reason) AS reason FROM r WHERE reason IS NOT NULL GROUP BY ALL) SELECT source_id, reason, count(*) AS n FROM o GROUP BY ALL"
+_P4_SUMMARY = (
+    _LINES.replace("col_index, kind,", "col_index, kind, name, target,").replace("list({k: kind,", "list({c: coalesce(name, ''), k: kind,").replace("{k: h[i].k,", "{c: CASE WHEN h[i].c = '' THEN 'col_' || (i - 1) ELSE h[i].c END, k: h[i].k,").replace("any_value(run_id) AS run_id", "any_value(run_id) AS run_id, any_value(target) AS target")
+    + """, g AS (SELECT source_id, row_number, target, e, ad, vd, p FROM r WHERE reason IS NULL),
+x AS (SELECT *, list_filter(p, lambda y: y.k = 'Id')[1].v AS id, list_filter(p, lambda y: y.k = 'Label')[1].v AS l, list_filter(p, lambda y: y.k = 'StartId')[1].v AS s, list_filter(p, lambda y: y.k = 'EndId')[1].v AS t, list_filter(p, lambda y: y.k = 'Type')[1].v AS rel,
+  map_from_entries(list_distinct(list_transform(list_filter(p, lambda y: y.k = 'Property' AND NOT (y.v = '' AND e)), lambda y: {k: y.c, v: list_last(list_transform(list_filter(p, lambda z: z.k = 'Property' AND z.c = y.c AND NOT (z.v = '' AND e)), lambda z: z.v))}))) AS q,
+  list_distinct(list_transform(list_filter(p, lambda y: y.k = 'NamedEmbedding' AND NOT (y.v = '' AND e)), lambda y: {k: y.c, n: len(string_split(y.v, vd))})) AS n FROM g)
+SELECT source_id, target, count(*) AS records, count(id) AS ids, CAST(coalesce(sum(len(list_filter(string_split(l, ad), lambda y: y <> ''))), 0) AS BIGINT) AS labels, count(CASE WHEN NOT (s = '' AND e) THEN s END) AS starts, count(CASE WHEN NOT (t = '' AND e) THEN t END) AS ends,
+count(DISTINCT CASE WHEN NOT (rel = '' AND e) THEN rel END) AS types, CAST(sum(cardinality(q)) AS BIGINT) AS named, CAST(sum(coalesce(list_sum(list_transform(map_values(q), lambda y: length(y))), 0)) AS BIGINT) AS characters, CAST(sum(coalesce(list_sum(list_transform(n, lambda y: y.n)), 0)) AS BIGINT) AS numbers FROM x GROUP BY 1, 2"""
+)
 _IMPORTS = """ends AS (SELECT source_id, row_number, source_id || '#' || row_number AS row_id, run_id, epoch_us(started_at) AS t, unnest(list_filter(p, lambda x: x.k IN ('StartId', 'EndId'))) AS x FROM r WHERE reason IS NULL),
 imports AS (SELECT 'import_rows' AS tbl, row_id, CASE x.k WHEN 'StartId' THEN 'start_id' ELSE 'end_id' END AS ref_column, x.v AS k, t FROM ends)"""
 _TABLES = """SELECT 'edges' AS tbl, id AS row_id, 'start_node' AS ref_column, start_node AS k, created_at_unix_ms * 1000 AS t FROM edges
@@ -68,6 +77,7 @@ def queries() -> dict:
         "p4_found": delimited.p4_found,
         "p4_reasons": delimited.p4_reasons,
         "p4_loaded": delimited.p4_loaded,
+        "p4_summary": delimited.p4_summary,
     }
 
 
@@ -82,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_runs": _P2_RUNS,
         "p4_found": _P4,
         "p4_reasons": _P4_REASONS,
+        "p4_summary": _P4_SUMMARY,
     }

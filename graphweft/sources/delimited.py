@@ -224,3 +224,12 @@ def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded_records(import_lines(spark, sf_dir))
+
+
+def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was loaded of each source: records, their labels, ends and types, named values and numbers of embeddings."""
+    r = loaded_records(import_lines(spark, sf_dir))
+    return r.groupBy("source_id", "target").agg(
+        F.count("*").alias("records"), F.count("id").alias("ids"), F.coalesce(F.sum(F.size("labels")), F.lit(0)).cast("long").alias("labels"), F.count("start_id").alias("starts"), F.count("end_id").alias("ends"), F.count_distinct("rel_type").alias("types"),
+        F.sum(F.size("properties")).cast("long").alias("named"), F.sum(F.aggregate(F.map_values("properties"), F.lit(0), lambda n, v: n + F.length(v))).cast("long").alias("characters"), F.sum(F.size(F.flatten(F.map_values("embeddings")))).cast("long").alias("numbers"),
+    )
