@@ -21,11 +21,11 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     return events.withWatermark(time, late).groupBy(s.alias("s"), key).agg(F.count("*").alias("events")).select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), key, "events")
 
 
-def co_access_stream(events: DataFrame, group: str, node: str, at_ms: str, window_ms: int = 30_000, least: int = 3, keep_ms: int = 86_400_000) -> DataFrame:
+def co_access_stream(events: DataFrame, group: str, node: str, at_ms: str, window_ms: int = 30_000, least: int = 3, keep_ms: int = 86_400_000, forget: bool = False) -> DataFrame:
     """``group, a, b, count`` each time a pair of one group's nodes has been accessed within the window at least ``least`` times.
 
-    State per group: the accesses of the last window, and the counts of the pairs seen in the last ``keep_ms`` of the group's own time; a
-    group without events for that long (in processing time) is forgotten.
+    State per group: the accesses of the last window, and the counts of the pairs seen in the last ``keep_ms`` of the group's own time. With
+    ``forget`` a group without events for that long in processing time loses its state; the stream then runs a batch at every trigger.
     """
     kinds = dict(events.dtypes)
 
@@ -56,8 +56,9 @@ def co_access_stream(events: DataFrame, group: str, node: str, at_ms: str, windo
         if now is not None:
             counts = {p: v for p, v in counts.items() if now - v[1] < keep_ms}
         state.update(([f"{t}\t{n}" for t, n in recent], list(counts), [int(c) for c, _ in counts.values()], [int(t) for _, t in counts.values()]))
-        state.setTimeoutDuration(keep_ms)
+        if forget:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=columns)
 
     src = events.select(group, F.col(node).cast("string").alias(node), F.col(at_ms).cast("long").alias(at_ms))
-    return src.groupBy(group).applyInPandasWithState(step, f"`{group}` {kinds[group]}, a string, b string, count long", "recent array<string>, pairs array<string>, counts array<long>, seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return src.groupBy(group).applyInPandasWithState(step, f"`{group}` {kinds[group]}, a string, b string, count long", "recent array<string>, pairs array<string>, counts array<long>, seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
