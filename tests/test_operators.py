@@ -126,6 +126,30 @@ def test_signals(spark):
     assert [tuple(r) for r in signals.similar(p).collect()] == [("a", "b", 0.9)]
 
 
+@pytest.mark.parametrize("rows", [1, 400, 100_000])
+def test_closest_accesses_in_passes(spark, rows):
+    """Against all pairs, with ties in time and several passes; the pairs themselves are never shuffled or aggregated."""
+    rng = np.random.default_rng(3)
+    log = [(f"n{int(x)}", int(t)) for x, t in zip(rng.zipf(1.5, 900) % 60, rng.integers(-200, 4_000, 900))]
+    log += [("é", 5), ("z", 5), ("\U0001f600", 5), ("\ufb01", 5)]
+    want = {}
+    for x, t1 in log:
+        for y, t0 in log:
+            if x != y and t1 - t0 < 50 and (t0 < t1 or t0 == t1 and y < x):
+                want[x, y] = min(t1 - t0, want.get((x, y), 50))
+    frame = spark.createDataFrame([*log, (None, 7), ("n1", None)], "node string, at_ms long")
+    if rows == 1:
+        frame, rows = frame.filter("node in ('n1', 'n2', 'n3', 'z')"), 30
+        want = {k: v for k, v in want.items() if set(k) <= {"n1", "n2", "n3", "z"}}
+    df = signals.temporal(frame, 50, rows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Join" not in plan
+    got = df.collect()
+    assert {(r.source, r.target): r.confidence for r in got} == pytest.approx({k: 1 - v / 50 for k, v in want.items()})
+    assert len(got) == len(want)
+    assert signals.temporal(frame.limit(0), 50).count() == 0
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None)], "id int, t string")
     assert [(r.chunk, r.char_offset) for r in chunks.by_chars(df, "t", 4, 1).orderBy("chunk_no").collect()] == [("abcd", 0), ("defg", 3), ("ghij", 6)]
