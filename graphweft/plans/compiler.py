@@ -1163,8 +1163,11 @@ def run(catalog: GraphCatalog, text: str, params: dict, unique_rels: bool = Fals
     for k, part in enumerate(q.parts):
         comp = Compiler(target, params, unique_rels, visible)
         done = rewrites.two_hop_count(comp, part) if not unique_rels and visible is None else None
+        if done is None and not unique_rels and visible is None:
+            done = rewrites.pattern_count(comp, part)
         if done is None:
-            comp.clauses(rewrites.aggregate_first(comp, part) if visible is None else part)
+            part_left = rewrites.distinct_apart(comp, part) if not unique_rels and visible is None else part
+            comp.clauses(rewrites.aggregate_first(comp, part_left) if visible is None else part)
             done = comp.df if comp.df is not None else catalog.spark.range(0).select()
         if not (isinstance(part[-1], (s.Project, s.CallProc, s.Schema)) or result is not None):
             done = done.select().limit(0)

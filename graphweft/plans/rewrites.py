@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,156 @@ def two_hop_count(comp, clauses: list) -> DataFrame | None:
     return total
 
 
+def pattern_count(comp, clauses: list) -> DataFrame | None:
+    """``MATCH`` of three or more relationships, also in a cycle, with ``RETURN count(*)``: one variable after the other is summed out, so
+    that a join never meets more variables than the pattern needs at that place, and the matches themselves are never made."""
+    if len(clauses) != 2 or not isinstance(clauses[0], s.Match) or not isinstance(clauses[1], s.Project):
+        return None
+    m, p = clauses
+    if not p.last or p.star or p.distinct or len(p.items) != 1 or p.order or p.skip or p.limit or p.where is not None:
+        return None
+    e = p.items[0].expr
+    if not (isinstance(e, s.Fn) and e.name.lower() == "count" and not e.distinct):
+        return None
+    names = {x.var for path in m.paths for x in (*path.nodes, *path.rels) if x.var}
+    if e.args[0] != s.Lit("*") and not (isinstance(e.args[0], s.Var) and e.args[0].name in names):
+        return None
+    found = _factors(comp, [m])
+    if found is None or len(found[0]) < 3:
+        return None
+    total = None
+    for _, f in _summed_out(found[0], set(), True):
+        total = f if total is None else total.crossJoin(f.withColumnRenamed(f"{SEP}n", f"{SEP}m")).select((F.col(f"`{SEP}n`") * F.col(f"`{SEP}m`")).alias(f"{SEP}n"))
+    return total.select(F.coalesce(F.col(f"`{SEP}n`"), F.lit(0)).cast("long").alias(p.items[0].alias or p.items[0].text))
+
+
+def distinct_apart(comp, clauses: list) -> list:
+    """Several ``count(DISTINCT x)`` of nodes per properties of one node ``k``: instead of all matches, the pairs ``k, x`` that occur in one
+    are made for each ``x`` apart and put below each other, the other ``x`` being null there.
+
+    Binds ``k`` and the ``x`` in ``comp`` and gives the clauses that remain; other statements are given back as they are.
+    """
+    matches = [m for m in clauses[:-1] if isinstance(m, s.Match)]
+    if not matches or len(matches) != len(clauses) - 1 or not isinstance(clauses[-1], s.Project):
+        return clauses
+    p = clauses[-1]
+    if not p.last or p.star or p.distinct or p.where is not None:
+        return clauses
+    exprs = [i.expr for i in p.items] + [o.expr for o in p.order]
+    aggs = list(dict.fromkeys(x for e in exprs for x in s.walk(e) if isinstance(x, s.Fn) and x.name.lower() in s.AGGREGATES))
+    if any(not a.distinct or a.name.lower() != "count" or not isinstance(a.args[0], s.Var) for a in aggs) or any(isinstance(x, (s.Exists, s.PatternList)) for e in exprs for x in s.walk(e)):
+        return clauses
+    nodes = {n.var for m in matches for path in m.paths for n in path.nodes if n.var}
+    counted = list(dict.fromkeys(a.args[0].name for a in aggs))
+    keys = {v.name for i in p.items for v in s.walk(_without(i.expr, aggs)) if isinstance(v, s.Var)}
+    if len(counted) < 2 or len(keys) != 1 or keys & set(counted) or not (keys | set(counted)) <= nodes:
+        return clauses
+    known = keys | set(counted) | {i.alias or i.text for i in p.items}
+    if any(isinstance(v, s.Var) and v.name not in known for o in p.order for v in s.walk(o.expr)):
+        return clauses
+    found = _factors(comp, matches)
+    if found is None:
+        return clauses
+    factors, cand = found
+    (key,) = keys
+    sides = []
+    for x in counted:
+        left = _summed_out(factors, {key, x}, False)
+        pairs = left[0][1]
+        for names, f in left[1:]:
+            pairs = _meet(pairs, f, [n for n in names if n in pairs.columns])
+        sides.append(pairs.select(F.col(f"`{key}`").alias(f"{SEP}key"), *[(F.col(f"`{x}`") if x == y else F.lit(None)).alias(f"{y}{SEP}_id") for y in counted]))
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
+    by = {n.var: n for m in matches for path in m.paths for n in path.nodes if n.var}
+    comp.needs |= {key}
+    comp.scan(replace(by[key], labels=()), cand[key])
+    comp.df = comp.df.join(rows, F.col(f"`{key}{SEP}_id`") == F.col(f"`{SEP}key`")).drop(f"{SEP}key")
+    for x in counted:
+        comp.df = comp.df.withColumn(f"{x}{SEP}_labels", F.array().cast("array<string>"))
+        comp.bind_node(by[x], cand[x], False)
+    return [p]
+
+
+def _factors(comp, matches: list) -> tuple[list, dict] | None:
+    """The relationships of plain patterns as ``({variables}, frame of their keys)``, with the tables of each node; None where a node or
+    relationship says more than that it is there."""
+    if any(m.optional or m.where is not None for m in matches):
+        return None
+    plain = [path for m in matches for path in m.paths]
+    rels = [r for path in plain for r in path.rels]
+    if any(path.shortest or path.var or not path.rels for path in plain) or any(r.many or r.props is not None for r in rels) or any(n.props is not None for path in plain for n in path.nodes):
+        return None
+    named = [r.var for r in rels if r.var]
+    if len(set(named)) != len(named):
+        return None
+    plain = comp.named(tuple(plain))
+    cand = comp.candidates(plain)
+    out = []
+    for path in plain:
+        for a, r, b in zip(path.nodes, path.rels, path.nodes[1:]):
+            f, _, trusted = comp.rel_frame(r, a.var, b.var, cand[a.var], cand[b.var], tuple(comp.native(x.var, cand[x.var]) for x in (a, b)))
+            if not trusted or not all(comp.implied(r, cand[a.var], cand[b.var], end) for end in (False, True)):
+                return None
+            start, end = F.col(f"`{r.var}{SEP}~from`"), F.col(f"`{r.var}{SEP}~to`")
+            f = f.filter(start == end).select(start.alias(a.var)) if a.var == b.var else f.select(start.alias(a.var), end.alias(b.var))
+            out.append((frozenset((a.var, b.var)), f))
+    return out, cand
+
+
+def _meet(a: DataFrame, b: DataFrame, on: list) -> DataFrame:
+    return a.join(b, on) if on else a.crossJoin(b)
+
+
+def _summed_out(factors: list, keep: set, counted: bool) -> list:
+    """``factors`` after all variables but ``keep`` are summed out, rows counted in ``·n`` or only kept apart.
+
+    The next variable is the one whose join is estimated smallest, from the rows and distinct keys of the relationships.
+    """
+    n = f"{SEP}n"
+    left = sorted({v for names, _ in factors for v in names} - keep)
+    stats = len(left) > 1
+    state = []
+    for names, f in factors:
+        size, seen = 1, {}
+        if stats:
+            row = f.agg(F.count(F.lit(1)), *[F.approx_count_distinct(F.col(f"`{v}`")) for v in sorted(names)]).first()
+            size, seen = max(1, row[0]), {v: max(1, d) for v, d in zip(sorted(names), row[1:])}
+        state.append((names, f.withColumn(n, F.lit(1).cast("long")) if counted else f, size, seen))
+
+    def joined(v: str) -> float:
+        own = [x for x in state if v in x[0]]
+        shared = {w: sorted(x[3].get(w, 1) for x in own if w in x[0]) for x in own for w in x[0]}
+        return prod(x[2] for x in own) / prod(prod(d[1:]) for d in shared.values())
+
+    while left:
+        v = min(left, key=joined)
+        left.remove(v)
+        size = joined(v)
+        own = sorted((x for x in state if v in x[0]), key=lambda x: -x[2])
+        state = [x for x in state if v not in x[0]]
+        names, f = own[0][:2]
+        for other, g, *_ in own[1:]:
+            if counted:
+                f = _meet(f, g.withColumnRenamed(n, f"{SEP}m"), sorted(names & other)).withColumn(n, F.col(f"`{n}`") * F.col(f"`{SEP}m`")).drop(f"{SEP}m")
+            else:
+                f = _meet(f, g, sorted(names & other))
+            names |= other
+        names -= {v}
+        seen = {w: min(x[3].get(w, 1) for x in own if w in x[0]) for w in names}
+        groups = prod(seen.values())
+        rest = [F.col(f"`{w}`") for w in sorted(names)]
+        if not counted:
+            f = f.select(*rest).distinct()
+        elif not names or groups < size or not stats or len(own) == 1:
+            f = f.groupBy(*rest).agg(F.sum(n).alias(n))
+        else:
+            f = f.select(*rest, n)
+        state.append((names, f, max(1, min(size, groups)), seen))
+    return [(names, f) for names, f, *_ in state]
+
+
 def aggregate_first(comp, clauses: list) -> list:
     """``MATCH (x)-[r]-(y)`` followed by aggregates over ``r`` and counts of ``y`` per properties of ``x``: the relationships are aggregated
     per end before they meet the table of ``x``, so the join has one row per node instead of one per relationship.

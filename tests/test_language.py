@@ -183,6 +183,44 @@ def test_two_hop_count_makes_no_pairs(retail):
     assert plan.count("Join") and "Aggregate" in plan.split("Join")[1]
 
 
+def test_pattern_count_sums_variables_out(spark):
+    """Cycles, trees, loops and separate parts against nested loops; a join meets summed rows, not matches."""
+    rng = random.Random(5)
+    g = GraphCatalog(spark)
+    edges = {}
+    for k in "ABC":
+        g.add_nodes(k, spark.range(6), "id")
+    for t, x, y in (("R", "A", "B"), ("S", "C", "B"), ("T", "C", "A"), ("U", "A", "A")):
+        edges[t] = [(rng.randrange(6), rng.randrange(6)) for _ in range(25)]
+        g.add_rels(t, spark.createDataFrame(edges[t], "s long, d int"), "s", "d", x, y)
+    R, S, T, U = (edges[k] for k in "RSTU")
+    cycle = "MATCH (a:A)-[:R]->(b)<-[:S]-(c:C)-[:T]->(a) RETURN count(*) AS n"
+    plan = g.query(cycle)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join", 1)[1]
+    assert rows(g, cycle) == [(sum(b == y and c == z and w == a for a, b in R for c, y in S for z, w in T),)]
+    assert rows(g, "MATCH (a:A)-[r:R]->(b), (c:C)-[:S]->(b), (a)-[:U]->(a) RETURN count(r) AS n") == [(sum(b == y and u == v == a for a, b in R for _, y in S for u, v in U),)]
+    assert rows(g, "MATCH (a)-[:U]->(x)-[:U]->(y)-[:U]-(z) RETURN count(*) AS n") == [(sum((v == w) * (x == q) + (v == w) * (x == s and q != s) for _, v in U for w, x in U for q, s in U),)]
+    assert rows(g, "MATCH (a)-[:R]->(b), (c)-[:S]->(d), (e)-[:T]->(f) RETURN count(*) AS n") == [(25**3,)]
+    assert rows(g, "MATCH (a:B)-[:R]->(b)-[:S]->(c)-[:T]->(d) RETURN count(*) AS n") == [(0,)]
+
+
+def test_counts_of_distinct_nodes_are_made_apart(spark):
+    rng = random.Random(6)
+    g = GraphCatalog(spark)
+    g.add_nodes("N", spark.createDataFrame([(k, "even" if k % 2 == 0 else "odd") for k in range(8)], "id int, name string"), "id")
+    g.add_nodes("A", spark.range(9), "id").add_nodes("B", spark.range(9), "id")
+    R, S = ([(rng.randrange(9), rng.randrange(8)) for _ in range(m)] for m in (14, 6))
+    for t, e, x in (("R", R, "A"), ("S", S, "B")):
+        g.add_rels(t, spark.createDataFrame(e, "s long, d int"), "s", "d", x, "N")
+    text = "MATCH (a:A)-[:R]->(n:N) MATCH (b:B)-[:S]->(n) RETURN n.name AS name, count(DISTINCT a) AS x, count(DISTINCT b) AS y ORDER BY y DESC, name"
+    met = [(n % 2, a, b) for a, n in R for b, m in S if n == m]
+    want = [(name, len({a for k, a, _ in met if k == v}), len({b for k, _, b in met if k == v})) for v, name in enumerate(("even", "odd")) if any(k == v for k, *_ in met)]
+    df = g.query(text)
+    assert "Union" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == sorted(want, key=lambda r: (-r[2], r[0]))
+    assert rows(g, text.replace("n.name AS name", "n.id % 2 AS name").replace("ORDER BY y DESC, name", "")).__len__() == len(want)
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     from graphweft.queries.graph import build
 
