@@ -429,8 +429,8 @@ round(CASE WHEN preferential_attachment <= 1 THEN 0.0 ELSE least(1.0, log10(pref
 
 def link_hybrid(spark, sf):
     g, q = engine._graph(spark, sf)
-    t = links.topology(g, q).select("source", "target", F.col("common_neighbors").alias("score"))
     s = table(spark, sf, "similarity_results").filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(F.col("source_id").alias("source"), F.col("id").alias("target")).agg(F.max("score").alias("similarity"))
+    t = links.topology(g, q, [F.col("common_neighbors").alias("score")], first=10, also=s)
     return links.hybrid(t, s, 10).select("source", "target", F.round("score", 7).alias("score"), "rank")
 
 

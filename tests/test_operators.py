@@ -115,6 +115,38 @@ def test_link_prediction_closed_form(spark):
     assert links.hybrid(links.predict(g, q, "jaccard"), sem, 5).count() == 2
 
 
+@pytest.mark.parametrize("block", [2, 1_000])
+def test_pairs_that_meet_in_hubs(spark, monkeypatch, block):
+    """With every node above degree 8 a hub all is as without hubs, also the best few and those with a similarity."""
+    monkeypatch.setattr(links, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    e = [(f"n{x:02d}", f"n{y:02d}") for x, y in zip(rng.integers(0, 60, 110), rng.zipf(1.6, 110) % 60)]
+    e += [("h", f"n{k:02d}") for k in range(0, 60, 2)] + [("i", f"n{k:02d}") for k in range(0, 60, 3)] + [("h", "i"), ("h", "leaf")] + [("h", f"m{k:02d}") for k in range(30)]
+    g = links.snapshot(spark.createDataFrame(e, "a string, b string"))
+    q = spark.createDataFrame([(x,) for x in ("n00", "n02", "n03", "n06", "n07", "n12", "h", "leaf", "none")], "source string")
+
+    def of(df):
+        rows = df.collect()
+        out = {(r.source, r.target): tuple(r)[2:] for r in rows}
+        assert len(out) == len(rows)
+        return out
+
+    def same(a, b):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in b)
+
+    want = of(links.topology(g, q, hub=10**9))
+    same(of(links.topology(g, q, hub=8)), want)
+    assert len(want) > 200
+    sim = spark.createDataFrame([(s, t, float(v)) for (s, t), v in zip(sorted(want), rng.random(len(want))) if v > 0.8] + [("n00", "h", 0.9), ("n00", "n00", 1.0)], "source string, target string, similarity double")
+    for name in ("common_neighbors", "jaccard"):
+        view = [F.round(name, 9).alias("score")]
+        full = links.topology(g, q, view, hub=10**9)
+        few = links.topology(g, q, view, first=3, also=sim, hub=8)
+        assert few.count() < full.count()
+        same(of(links.top(few, 3)), of(links.top(full, 3)))
+        same(of(links.hybrid(few, sim, 3, threshold=0.1)), of(links.hybrid(full, sim, 3, threshold=0.1)))
+
+
 def test_signals(spark):
     log = spark.createDataFrame([("a", 0), ("b", 10), ("a", 20), ("b", 25), ("c", 70_000), (None, 5)], "node string, at_ms long")
     assert [tuple(r) for r in signals.co_access(log, 30_000, 3).collect()] == [("a", "b", 4, 0.4)] or [r["count"] for r in signals.co_access(log, 30_000, 3).collect()] == [4]
