@@ -418,8 +418,7 @@ SELECT vec_id, round(list_avg(v), 6) AS mean, CASE WHEN n > 0 THEN 1::DOUBLE ELS
 
 def score_normalisation(spark, sf):
     """The raw scores of the algorithms on 0 .. 1."""
-    t = links.topology(*engine._graph(spark, sf))
-    return t.select("source", "target", *[F.round(links.normalised(a, F.col(a)), 6).alias(a) for a in links.ENSEMBLE])
+    return links.topology(*engine._graph(spark, sf), view=[F.round(links.normalised(a, F.col(a)), 6).alias(a) for a in links.ENSEMBLE])
 
 
 _NORMALISED = engine._TOPOLOGY.replace(", 8) AS", ", 12) AS").replace("SELECT source, target, CAST(c AS DOUBLE)", ", raw AS (SELECT source, target, CAST(c AS DOUBLE)") + """)
