@@ -182,6 +182,17 @@ def test_closest_accesses_in_passes(spark, rows):
     assert signals.temporal(frame.limit(0), 50).count() == 0
 
 
+def test_closest_accesses_of_busy_nodes(spark):
+    """Three nodes with 100,000 accesses each in one window: their 30 billion pairs can't be gone through; b follows a and c, which come at one time."""
+    n = 100_000
+    frame = spark.range(3 * n).selectExpr("element_at(array('a', 'b', 'c'), int(id % 3) + 1) AS node", "id div 3 * 10 + if(id % 3 = 1, 4, 0) AS at_ms")
+    at = np.sort(np.concatenate([np.arange(n) * 10, np.arange(n) * 10, np.arange(n) * 10 + 4]))
+    low, high = signals._ranges(at, np.arange(n) * 10, None, 10 * n)
+    assert (high - low).sum() < 2 * len(at)
+    got = {(r.source, r.target): r.age for r in signals.closest(frame, 10 * n).collect()}
+    assert got == {("a", "b"): 6, ("a", "c"): 10, ("b", "a"): 4, ("b", "c"): 4, ("c", "a"): 0, ("c", "b"): 6}
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None)], "id int, t string")
     assert [(r.chunk, r.char_offset) for r in chunks.by_chars(df, "t", 4, 1).orderBy("chunk_no").collect()] == [("abcd", 0), ("defg", 3), ("ghij", 6)]
